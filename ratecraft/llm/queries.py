@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, packing, quality_rules
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.quality(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, with_text=False)
 
@@ -29,7 +34,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_bpe_encode, op9_packing)}
+    return {f.__name__: f for f in (op5_quality_rules, op7_bpe_encode, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
