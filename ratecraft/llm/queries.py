@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules
+from . import bpe, language_id, packing, quality_rules, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(n: int) -> Column:
+    """crc32 of a document's id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learnt = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    return toxicity.score(docs, learnt).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
@@ -29,12 +41,18 @@ def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, with_text=False)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learnt = language_id.fit(docs.where(fold(3) != 1))
+    return language_id.identify(docs, learnt).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op7_bpe_encode, op9_packing)}
+    return {f.__name__: f for f in (op4_toxicity, op5_quality_rules, op7_bpe_encode, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
