@@ -147,8 +147,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarr
         if b - a >= k:
             yield np.unique(rolled[a : b - k + 1])
         elif b > a:
-            some = (hashes[a:b] * _COMBINE[: b - a]).sum(dtype=np.uint64) + _LENGTH[b - a]
-            yield mix64(np.array([some], np.uint64))
+            yield mix64((hashes[a:b] * _COMBINE[: b - a]).sum(dtype=np.uint64, keepdims=True) + _LENGTH[b - a])
         else:
             yield hashes[:0]
 
