@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, ngram_join, packing, quality_rules, toxicity
+from . import bpe, language_id, line_dedup, ngram_join, packing, quality_rules, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,6 +37,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, with_text=False)
 
@@ -56,8 +61,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_toxicity, op5_quality_rules, op7_bpe_encode, op8_ngram_jaccard_join, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op4_toxicity, op5_quality_rules, op6_line_dedup, op7_bpe_encode, op8_ngram_jaccard_join, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.SQL}
