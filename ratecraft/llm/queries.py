@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, ngram_join, packing, quality_rules, toxicity
+from . import bpe, language_id, line_dedup, ngram_join, packing, pii, quality_rules, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -26,6 +26,14 @@ def fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+#: Stands in for a secret that a real run takes from its key store.
+PII_KEY = "public example key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, with_spans=False)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learnt = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
@@ -61,7 +69,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_toxicity, op5_quality_rules, op6_line_dedup, op7_bpe_encode, op8_ngram_jaccard_join, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op3_pii, op4_toxicity, op5_quality_rules, op6_line_dedup, op7_bpe_encode, op8_ngram_jaccard_join, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
