@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language_id, line_dedup, ngram_join, packing, pii, quality_rules, toxicity
+from . import ann, bpe, kneser_ney, language_id, line_dedup, ngram_join, packing, pii, quality_rules, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -26,6 +26,11 @@ def fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.perplexity_filter(table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), ann.fit(vectors))
@@ -74,7 +79,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_learned_partitions, op3_pii, op4_toxicity, op5_quality_rules, op6_line_dedup, op7_bpe_encode, op8_ngram_jaccard_join, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_learned_partitions, op3_pii, op4_toxicity, op5_quality_rules, op6_line_dedup, op7_bpe_encode, op8_ngram_jaccard_join, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
