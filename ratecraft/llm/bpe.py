@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 _NONE = np.int64(2**63 - 1)
 #: Words, and pieces, that a generation of a memo holds. About 300 bytes each.
-MEMO_WORDS = 160_000
+MEMO_WORDS = 300_000
 #: White space of Unicode, as the tokenizer file's pattern ``\s`` has it.
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Characters that Python counts as white space and the pattern doesn't.
@@ -77,10 +77,10 @@ class Vocabulary:
     def pieces(self, word: str) -> list[str]:
         """Lower-case pieces of a word without white space; special tokens stay as they are."""
         low = word.lower()
-        if word.isascii():
+        if word.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word)):
             if low.isalpha():
                 return [low]
-            if low[-1] in ",.;:!?" and low[:-1].isalpha():
+            if low[-1:] in (",", ".") and low[:-1].isalpha():
                 return [low[:-1], low[-1]]
         out = []
         for part in self.split_special.split(word) if self.split_special and "<|" in word else [word]:
@@ -195,11 +195,12 @@ class Memo:
         if len(self.young) + len(keys) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        keys.difference_update(young)
-        for k in keys & old.keys():
-            young[k] = old[k]
-        keys.difference_update(young)
-        return keys
+        left = {k for k in keys if k not in young}
+        if old:
+            again = {k for k in left if k in old}
+            young.update((k, old[k]) for k in again)
+            left -= again
+        return left
 
 
 class Encoder:
@@ -217,7 +218,8 @@ class Encoder:
         new = self.parts.missing({p for own in split for p in own})
         parts = self.parts.young
         for p in new & special.keys():
-            parts[p] = (np.array([special[p]], "<u4").tobytes(), p)
+            raw = np.array([special[p]], "<u4").tobytes()
+            parts[p] = (raw, p) if self.decoded else raw
             new.discard(p)
         pieces = list(new)
         if pieces:
@@ -229,11 +231,13 @@ class Encoder:
                     parts[p] = (raw[4 * a : 4 * b], " ".join(text[a:b]))
             else:
                 for p, a, b in zip(pieces, at, at[1:]):
-                    parts[p] = (raw[4 * a : 4 * b], "")
+                    parts[p] = raw[4 * a : 4 * b]
         young = self.words.young
         for w, own in zip(words, split):
             if len(own) == 1:
                 young[w] = parts[own[0]]
+            elif not self.decoded:
+                young[w] = b"".join([parts[p] for p in own])
             else:
                 got = [parts[p] for p in own]
                 young[w] = (b"".join([x[0] for x in got]), " ".join([x[1] for x in got]))
@@ -253,7 +257,7 @@ class Encoder:
     def encode_split(self, ws: list[str]) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, after prepare()."""
         young = self.words.young
-        return b"".join([young[w][0] for w in ws])
+        return b"".join([young[w][0] for w in ws] if self.decoded else map(young.__getitem__, ws))
 
     def decode_split(self, ws: list[str]) -> str:
         """What the ids of encode_split() decode to."""
