@@ -54,11 +54,18 @@ def by_prediction(scored: DataFrame) -> DataFrame:
 
 
 def running(groups: DataFrame) -> DataFrame:
-    """Adds (before, actual_before): sums of w and wy over smaller predictions, by range partitions and their totals.
+    """Adds (before, actual_before): sums of w and wy over smaller predictions.
 
-    Only the totals of partitions are joined back by broadcast, one row each.
+    At most FEW predictions are summed on the driver; more by range partitions, of which only the
+    totals, one row each, are broadcast.
     """
-    own = groups.repartitionByRange("mu").withColumn("_p", F.spark_partition_id())
+    few = groups.limit(FEW + 1).toPandas()
+    if len(few) <= FEW:
+        few = few.sort_values("mu", kind="stable")
+        few["before"], few["actual_before"] = few.w.cumsum() - few.w, few.wy.cumsum() - few.wy
+        kinds = ", ".join(f"{c} {t}" for c, t in groups.dtypes) + ", before double, actual_before double"
+        return groups.sparkSession.createDataFrame(few, kinds)
+    own = groups.repartitionByRange("mu").withColumn("_p", F.spark_partition_id()).persist()
     sums = own.groupBy("_p").agg(F.sum("w").alias("sw"), F.sum("wy").alias("sy"))
     upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_p", F.coalesce(F.sum("sw").over(upto), F.lit(0.0)).alias("bw"), F.coalesce(F.sum("sy").over(upto), F.lit(0.0)).alias("by"))
