@@ -440,7 +440,8 @@ def actual_vs_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GROUPS = f"""g AS (SELECT {_BAND_ROW} AS b, {_PRIO_ROW} AS p, any_value({_RATE}) AS mu, count(*) AS n, sum(exposure) AS w, sum(claims) AS wy FROM policies GROUP BY 1, 2),
-o AS (SELECT *, sum(w) OVER (ORDER BY mu) - w AS before, sum(wy) OVER (ORDER BY mu) - wy AS ybefore, sum(w) OVER () AS tw, sum(wy) OVER () AS ty FROM g)"""
+h AS (SELECT mu, sum(n) AS n, sum(w) AS w, sum(wy) AS wy FROM g GROUP BY 1),
+o AS (SELECT *, sum(w) OVER (ORDER BY mu) - w AS before, sum(wy) OVER (ORDER BY mu) - wy AS ybefore, sum(w) OVER () AS tw, sum(wy) OVER () AS ty FROM h)"""
 
 
 @query(f"WITH {{policies}}, {_GROUPS} SELECT least(floor(before / tw * 8), 7)::BIGINT AS bin, sum(n)::BIGINT AS n, round(sum(w), 4) AS weight, round(sum(wy), 4) AS actual, round(sum(w * mu), 4) AS expected FROM o GROUP BY 1")

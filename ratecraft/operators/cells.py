@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +61,19 @@ def collapse(bound: DataFrame, model: Model, family: Family) -> Cells:
         a, b = w * (y - o), w
     else:
         a, b = w * y, w
+    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    e = F.col(f"`{model.exposure}`").cast("double") if model.exposure else F.lit(1.0)
+    # What can't be fitted is counted in the same pass.
+    audit = [F.count("*").alias("c_all"), F.count(F.when(odd(y), 1)).alias("c_y"), F.count(F.when(odd(e), 1)).alias("c_e"), F.count(F.when(e < 0, 1)).alias("c_neg"), F.count(F.when(e <= 0, 1)).alias("c_zero"), F.min(y).alias("c_lo"), F.max(y).alias("c_hi")]
     got = bound.groupBy(*keys).agg(
+        *audit,
         F.sum(F.when(w > 0, a).otherwise(zero)).alias("a"), F.sum(F.when(w > 0, b).otherwise(zero)).alias("b"), F.sum(w).alias("w"), F.count(F.when(w > 0, 1)).alias("n")
     )
     few = got.limit(MAX_CELLS + 1).toPandas()
     if len(few) > MAX_CELLS:
         raise ValueError(f"the tables span more than {MAX_CELLS} cells of data; merge bands or levels")
-    few = few.sort_values([k for k in few.columns if k[0] in "rx" and k != "n"], kind="stable")
+    few = few.sort_values([k for k in few.columns if k[0] in "rx"], kind="stable")
+    check_data(few, model, family)
     rows = few[[f"r{i}" for i in range(n)]]
     if rows.isna().any().any():
         lost = [model.tables[i].name for i in range(n) if rows[f"r{i}"].isna().any()]
@@ -75,3 +82,22 @@ def collapse(bound: DataFrame, model: Model, family: Family) -> Cells:
     x = {i: few[f"x{i}"].to_numpy(float) for i in splines}
     offset = few["o"].to_numpy(float) if "o" in few else np.zeros(len(few))
     return Cells(rows.to_numpy(np.int64), few["a"].to_numpy(float), few["b"].to_numpy(float), offset, x, few["w"].to_numpy(float), few["n"].to_numpy(np.int64))
+
+
+def check_data(cells: pd.DataFrame, model: Model, family: Family) -> None:
+    """Raises on targets, exposures and weights that can't be fitted."""
+    c = lambda name: int(cells[f"c_{name}"].sum())
+    if not c("all"):
+        raise ValueError("there are no rows to fit")
+    if c("y"):
+        raise ValueError(f"the target {model.target} is null or not finite in {c('y')} rows")
+    if c("e"):
+        raise ValueError(f"the exposure {model.exposure} is null or not finite in {c('e')} rows")
+    if c("neg"):
+        raise ValueError(f"the exposure {model.exposure} is negative in {c('neg')} rows")
+    if model.role == "offset" and c("zero"):
+        raise ValueError(f"the exposure {model.exposure} is zero in {c('zero')} rows, so its logarithm can't be an offset")
+    if not cells["w"].sum() > 0:
+        raise ValueError("the total weight is zero")
+    if why := family.domain_error(cells["c_lo"].min(), cells["c_hi"].max()):
+        raise ValueError(why)

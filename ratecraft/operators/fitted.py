@@ -212,28 +212,6 @@ def table_labels(t: Table, model: Model) -> pd.DataFrame:
     return pd.DataFrame(out, index=range(t.n))
 
 
-def check_data(bound: DataFrame, model: Model, family: Family) -> None:
-    """One pass over targets and weights; raises on what can't be fitted."""
-    y, w, o = response(model)
-    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == math.inf)
-    e = F.col(f"`{model.exposure}`").cast("double") if model.exposure else F.lit(1.0)
-    r = bound.agg(F.count("*").alias("n"), F.count(F.when(odd(y), 1)).alias("y"), F.count(F.when(odd(e), 1)).alias("e"), F.count(F.when(e < 0, 1)).alias("neg"), F.min(y).alias("lo"), F.max(y).alias("hi"), F.sum(w).alias("w"), F.count(F.when((e <= 0), 1)).alias("zero")).first()
-    if not r.n:
-        raise ValueError("there are no rows to fit")
-    if r.y:
-        raise ValueError(f"the target {model.target} is null or not finite in {r.y} rows")
-    if r.e:
-        raise ValueError(f"the exposure {model.exposure} is null or not finite in {r.e} rows")
-    if r.neg:
-        raise ValueError(f"the exposure {model.exposure} is negative in {r.neg} rows")
-    if model.role == "offset" and r.zero:
-        raise ValueError(f"the exposure {model.exposure} is zero in {r.zero} rows, so its logarithm can't be an offset")
-    if not r.w > 0:
-        raise ValueError("the total weight is zero")
-    if why := family.domain_error(r.lo, r.hi):
-        raise ValueError(why)
-
-
 def fit_model(model: Model, df: DataFrame, options: Options, *, plan: Plan | None = None, resolved: list[dict] | None = None) -> FittedModel:
     """Binds once, collapses once, solves on cells, and passes over the rows again for inference."""
     family = Family(model.family, options.tweedie_power or model.tweedie_power)
@@ -243,7 +221,6 @@ def fit_model(model: Model, df: DataFrame, options: Options, *, plan: Plan | Non
     keep = {f"_row{i}" for i in range(len(model.tables))} | {model.target, model.exposure, options.cluster} | {t.axes[0].name for t in model.tables if t.knots is not None}
     bound = bound.select(*[F.col(f"`{c}`") for c in bound.columns if c in keep]).persist()
     try:
-        check_data(bound, model, family)
         cells = collapse(bound, model, family)
         fit = fit_cells(model, cells, family, options)
         for t, f in zip(model.tables, fit.factors):

@@ -73,12 +73,14 @@ def totals(scored: DataFrame, family: Family, y: Column, w: Column, o: Column, m
     """One pass over the rows: deviance, Pearson statistic and sums for the likelihood."""
     on = lambda e: F.sum(F.when(w > 0, e).otherwise(0.0))
     dev = family.deviance_column(y, mu)
+    xlogx = lambda e: F.when(e > 0, e * F.ln(F.when(e > 0, e).otherwise(1.0))).otherwise(0.0)
+    half = F.pow(y, 2 - family.power) if family.name == "tweedie" else F.lit(0.0)
     got = scored.agg(
         F.count(F.when(w > 0, 1)).alias("n"), F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * mu).alias("wmu"), on(w * dev).alias("deviance"),
         on(w * (y - mu) * (y - mu) / family.variance_column(mu)).alias("pearson"), on(w * F.when(y > 0, y * F.ln(F.when(y > 0, mu).otherwise(1.0))).otherwise(0.0) - w * mu).alias("poisson"),
         on(w * F.ln(F.when(mu > 0, mu).otherwise(1.0))).alias("wlogmu"), on(w * F.ln(F.when(y > 0, y).otherwise(1.0))).alias("wlogy"), on(w * y / F.when(mu != 0, mu).otherwise(1.0)).alias("wymu"),
         on(F.ln(F.when(w > 0, w).otherwise(1.0))).alias("logw"), F.sum(F.when(w > 0, F.exp(o) * w).otherwise(0.0)).alias("wq"),
-        F.min(F.when(w > 0, y)).alias("lo"), F.max(F.when(w > 0, y)).alias("hi"),
+        on(w * xlogx(y)).alias("wylogy"), on(w * xlogx(1 - y)).alias("wzlogz") if family.name == "binomial" else F.lit(0.0).alias("wzlogz"), on(w * y * y).alias("wyy"), on(w * y * o).alias("wyo"), on(w * half).alias("whalf"),
     ).first()
     return {k: (float(v) if v is not None else math.nan) for k, v in got.asDict().items()}
 
@@ -103,16 +105,28 @@ def log_likelihood(scored: DataFrame, family: Family, t: dict[str, float], y: Co
     return None
 
 
-def null_deviance(scored: DataFrame, family: Family, y: Column, w: Column, o: Column, with_offset: bool) -> float:
-    """Deviance of the intercept-only model, with the offset when there is one."""
-    if with_offset and family.link == "log":
+def null_deviance(scored: DataFrame, family: Family, t: dict[str, float], y: Column, w: Column, o: Column, with_offset: bool) -> float:
+    """Deviance of the intercept-only model, with the offset when there is one; from the sums of totals() wherever they suffice."""
+    if with_offset and family.p != 1:
         p = family.p
         r = scored.agg(F.sum(F.when(w > 0, w * F.exp(o * (1 - p)) * y).otherwise(0.0)).alias("a"), F.sum(F.when(w > 0, w * F.exp(o * (2 - p))).otherwise(0.0)).alias("b")).first()
         mu = F.exp(o) * (r.a / r.b)
-    else:
-        r = scored.agg(F.sum(w * y).alias("a"), F.sum(w).alias("b")).first()
-        mu = F.lit(r.a / r.b)
-    return float(scored.agg(F.sum(F.when(w > 0, w * family.deviance_column(y, mu)).otherwise(0.0))).first()[0])
+        return float(scored.agg(F.sum(F.when(w > 0, w * family.deviance_column(y, mu)).otherwise(0.0))).first()[0])
+    total, wy = t["w"], t["wy"]
+    m = wy / total
+    if family.name == "gaussian":
+        return t["wyy"] - wy * m
+    if family.name == "binomial":
+        mean = (wy * math.log(m) if wy > 0 else 0.0) + ((total - wy) * math.log(1 - m) if wy < total else 0.0)
+        return 2 * (t["wylogy"] + t["wzlogz"] - mean)
+    if wy <= 0:
+        return 0.0
+    if family.p == 1:
+        return 2 * (t["wylogy"] - t["wyo"] - wy * math.log(wy / t["wq"])) if with_offset else 2 * (t["wylogy"] - wy * math.log(m))
+    if family.p == 2:
+        return 2 * (total * math.log(m) - t["wlogy"])
+    p = family.p
+    return 2 * (t["whalf"] / ((1 - p) * (2 - p)) - m ** (1 - p) * wy / (1 - p) + m ** (2 - p) * total / (2 - p))
 
 
 def cluster_meat(scored: DataFrame, fit: Fit, cluster: str, score: Column) -> tuple[np.ndarray, int]:
@@ -214,10 +228,10 @@ def infer(model: Model, fit: Fit, family: Family, scored: DataFrame, y: Column,
     if normalization == "weighted_mean" and not penalised and errors:
         _mean_errors(model, fit, cov, out_err)
     ll = log_likelihood(scored, family, t, y, w, scale)
-    k = effective + (0 if family.fixed_scale else 0)
+    k = effective
     return Inference(
         cov, covariance, scale, df, effective, n, ll, None if ll is None else -2 * ll + 2 * k, None if ll is None else -2 * ll + math.log(max(n, 1)) * k,
-        t["deviance"], null_deviance(scored, family, y, w, o, model.role == "offset"), t["pearson"], out_err, out_status, aliased, notes,
+        t["deviance"], null_deviance(scored, family, t, y, w, o, model.role == "offset"), t["pearson"], out_err, out_status, aliased, notes,
     )
 
 
