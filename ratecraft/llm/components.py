@@ -52,7 +52,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Alternates large-star and small-star steps until nothing changes.  Each step is an
     aggregation by vertex; a vertex of many edges sends them on, and none is gathered.
     """
+    def mark(f: DataFrame) -> tuple:
+        """Two sets of edges are the same when neither size nor sum of hashes differ."""
+        return tuple(f.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     now = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    before = mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours of a vertex join the least of its neighbourhood
@@ -63,10 +68,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         small = scratch.keep(small)
-        # Two sets of edges are the same when neither size nor sum of hashes differ.
-        sums = [f.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first() for f in (now, small)]
+        after = mark(small)
         scratch.drop(now, large)
-        if sums[0] == sums[1]:
+        if before == after:
             roots = small.groupBy("u").agg(F.min("v").alias("root"))
             return roots.unionByName(small.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
-        now = small
+        now, before = small, after

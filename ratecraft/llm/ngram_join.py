@@ -3,9 +3,9 @@
 1. A count sketch of fixed size gives every shingle a document frequency; shingles
    are ordered by it, rare first, and equal sets become one class.
 2. A class emits the prefix of its ordered set; sets that are similar enough share a prefix token.
-3. Tokens of one class only are dropped.  Pairs of classes under one token pass a
-   length filter, a positional filter and a suffix filter (sizes of both sets between
-   fixed pivots of the hash space bound their difference), and each pair left is verified on whole sets once.
+3. A token's place bounds the size of its partners (length and positional filter in one); rows whose bound
+   no other row of the token meets are dropped.  Pairs left pass a suffix filter (sizes of both sets
+   between fixed pivots of the hash space bound their difference), and each is verified on whole sets once.
 4. Classes linked are merged.  While tokens of many classes would give more pairs than
    a multiple of their rows, each is joined with a few centres only, and what these link
    is merged first; pairs inside a merged group need no further link.  Then
@@ -35,6 +35,8 @@ SKETCH_BITS, BLOCKS = 21, 32
 MAP_BITS = 23
 #: Centres of a token in a round, and rounds at most before all remaining pairs are compared.
 CENTRES, ROUNDS = 4, 8
+#: Comparisons that the last round may make for each row of the live tokens.
+MOST_PAIRS = 20
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[np.ndarray]:
@@ -207,34 +209,39 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark)
     all_docs = scratch.keep(signatures(docs, id_col, text_col, k, percent, frequencies(docs, text_col, k)))
     reps = scratch.keep(all_docs.where("rid is not null").groupBy("rid").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("prefix").alias("prefix")))
-    tokens = reps.select("rid", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "rid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    common = tokens.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-    rows = scratch.keep(tokens.join(common, "tok", "left_semi"))
+    # A token at a place leaves n - place items that can be shared, so a partner has ``cap`` items at most.
+    cap = F.expr(f"(n - pos) * {100 + percent} div {percent} - n")
+    tokens = reps.select("rid", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "rid", (F.shiftleft(F.col("n").cast("long"), 32) + cap).alias("at"))
+    n, cap = F.shiftright("at", 32), F.col("at") % (1 << 32)
+    # Rows without a partner of a size that suits both are dropped by the least size and the largest cap of their token.
+    common = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min(n).alias("lo"), F.max(cap).alias("hi")).where("c > 1").drop("c")
+    rows = scratch.keep(tokens.join(common, "tok").where((cap >= F.col("lo")) & (n <= F.col("hi"))).select("tok", "rid", n.alias("n"), cap.alias("cap")))
     meta = reps.select("rid", "n", "pivots")
     comps = None
     links: list[DataFrame] = []
     for turn in range(ROUNDS + 1):
         grouped = rows.withColumn("comp", F.col("rid")) if comps is None else rows.join(comps, "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-        open_tokens = grouped.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-        live = scratch.keep(grouped.join(open_tokens, "tok", "left_semi"))
-        sizes = live.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        pairs, n_rows = sizes.agg(F.coalesce(F.sum((F.col("s") * F.col("s").cast("double") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
-        if not n_rows:
+        open_tokens = grouped.groupBy("tok").agg(F.min("comp").alias("g0"), F.max("comp").alias("g1"), F.min("n").alias("lo"), F.max("cap").alias("hi")).where("g0 < g1").select("tok", "lo", "hi")
+        live = scratch.keep(grouped.join(open_tokens, "tok").where("cap >= lo and n <= hi").drop("lo", "hi"))
+        # Of two partners the smaller has its token in the first part of its prefix, where its cap is its own size or more.
+        sizes = live.groupBy("tok", "comp").agg(F.count("*").alias("c"), F.count(F.when(F.col("cap") >= F.col("n"), 1)).alias("k")).groupBy("tok").agg(F.sum("c").alias("s"), F.sum("k").alias("t"), F.sum(F.col("c") * F.col("k")).alias("q"))
+        pairs, n_rows = sizes.agg(F.coalesce(F.sum(F.col("s") * F.col("t").cast("double") - F.col("q")), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
+        if not pairs:
             break
-        last = pairs <= 2 * n_rows or turn == ROUNDS
+        last = pairs <= MOST_PAIRS * n_rows or turn == ROUNDS
+        fits = (F.col("n") <= F.col("cap2")) & (F.col("n2") <= F.col("cap")) & (F.col("comp") != F.col("comp2"))
         if last:
-            one, two = (live.select("tok", F.col("rid").alias(x), F.shiftright("at", 32).alias("n" + x), (F.col("at") % (1 << 32)).alias("p" + x), F.col("comp").alias("g" + x)) for x in "ab")
-            na, nb = F.col("na"), F.col("nb")
-            room = 1 + F.least(na - F.col("pa") - 1, nb - F.col("pb") - 1)
-            fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (room >= _need(na, nb, percent))
-            found = one.join(two, "tok").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & fits).select("a", "b").distinct()
+            other = live.select("tok", *[F.col(c).alias(c + "2") for c in ("rid", "n", "cap", "comp")])
+            # The smaller partner, or of equal ones that of the lesser id, leads.
+            found = live.where("cap >= n").join(other, "tok").where(fits & (F.struct("n", "rid") < F.struct("n2", "rid2")))
         else:
             flips = [int(x) for x in K._stream(1000 + turn, CENTRES).view(np.int64)]
             # The least value of an id with some bits turned over stands for a member that all tokens tend to agree on.
             centres = live.groupBy("tok").agg(*[F.min(F.col("rid").bitwiseXOR(F.lit(x))).alias(f"m{i}") for i, x in enumerate(flips)])
-            centres = centres.select("tok", F.explode(F.array_distinct(F.array(*[F.col(f"m{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(flips)]))).alias("centre"))
-            met = live.join(centres, "tok").where("rid != centre")
-            found = met.select(F.least("rid", "centre").alias("a"), F.greatest("rid", "centre").alias("b")).distinct()
+            centres = centres.select("tok", F.explode(F.array_distinct(F.array(*[F.col(f"m{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(flips)]))).alias("rid"))
+            other = live.join(centres, ["tok", "rid"]).select("tok", *[F.col(c).alias(c + "2") for c in ("rid", "n", "cap", "comp")])
+            found = live.join(other, "tok").where(fits)
+        found = found.select(F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")).distinct()
         known = meta.withColumn("comp", F.col("rid")) if comps is None else meta.join(comps, "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
         candidates = scratch.keep(_filtered(found, known, percent))
         links.append(verify(candidates, docs, text_col, k, percent, scratch))
