@@ -47,15 +47,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     places = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), key.alias("k")), "id", "k").join(spread, ["h", "len"])
     first = places.groupBy("h", "len").agg(F.min(F.struct("id", "place", "k")).alias("first"))
     gone = places.join(first, ["h", "len"]).where(~(F.struct("id", "place", "k").eqNullSafe(F.col("first"))))
-    gone = gone.groupBy("k").agg(F.collect_set("place").alias("gone"))
-    own = docs.select(*[F.col(f"`{c}`") for c in names], key.alias("_k"))
-    both = own.join(gone.withColumnRenamed("k", "_k"), "_k", "left")
+    k, g = (next(n for n in (f"{base}{i}" for i in range(len(names) + 1)) if n not in names) for base in ("_key", "_gone"))
+    gone = gone.groupBy(F.col("k").alias(k)).agg(F.collect_set("place").alias(g))
+    both = docs.select(*[F.col(f"`{c}`") for c in names], key.alias(k)).join(gone, k, "left")
     lines = F.split(F.col(f"`{text_col}`"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(g))
+    text = F.when(F.col(g).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
     rewritten = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
     n_lines = F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return both.select(*rewritten, n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return both.select(*rewritten, n_lines.alias("n_lines"), F.coalesce(F.size(g), F.lit(0)).cast("long").alias("n_removed"))
 
 
 #: The same for DuckDB, over documents with unique ids.
