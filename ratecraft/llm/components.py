@@ -5,10 +5,17 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table that may be broadcast, and edges that one task may join; both are counted first.
+SMALL = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of this machine only where none is set, as in tests."""
@@ -25,6 +32,10 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.top, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
 
+    def small(self, df: DataFrame) -> DataFrame:
+        """A kept table with the hint to broadcast it, if it has few enough rows."""
+        return F.broadcast(df) if df.count() <= SMALL else df
+
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         schema = df.schema
@@ -46,10 +57,54 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def bit_map(values: DataFrame, bits: int) -> np.ndarray:
+    """2**bits packed bits, set at the values of the frame's one column; its size doesn't depend on the input."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[batch.column(0).to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(seen).tobytes(), 1)], pa.binary())], ["m"])
+
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in values.mapInArrow(pack, "m binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(bytes(r.m)), np.uint8)
+    return out
+
+
+def bits_at(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether bits of a map are set."""
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """Components of a counted, small number of edges in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while root.setdefault(top, top) != top:
+                top = root[top]
+            while root[x] != top:
+                root[x], x = top, root[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        u = np.fromiter(root, np.int64, len(root))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array([find(x) for x in u.tolist()], pa.int64())], ["u", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "u long, root long")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, root) of every vertex of the undirected edges (u, v); root is the least vertex reachable.
 
-    Alternates large-star and small-star steps until nothing changes.  Each step is an
+    At most SMALL edges are joined in one task.  More go through large-star and small-star steps until nothing changes.  Each step is an
     aggregation by vertex; a vertex of many edges sends them on, and none is gathered.
     """
     def mark(f: DataFrame) -> tuple:
@@ -58,6 +113,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     now = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     before = mark(now)
+    if before[0] <= SMALL:
+        return _joined(now.select("u", "v"))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours of a vertex join the least of its neighbourhood

@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .components import Scratch
+from .components import Scratch, bit_map, bits_at
 
 WIDTH = 12
 #: N-grams of one shard: about 100 MB in each Python worker at most.
 SHARD_ROWS = 2_000_000
+#: log2 of the bits of the map of trusted ids.
+MAP_BITS = 24
 
 
 def packed(chunk: K.Chunk, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +99,22 @@ def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("_text", "_trusted").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
+def _likely(docs: DataFrame, known: DataFrame, id_type: str) -> DataFrame:
+    """(id, _text) of the documents whose id's hash is that of a known one, so that few other texts are shuffled.
+
+    The map has 2**MAP_BITS bits at any input size; a join decides afterwards.
+    """
+    bucket = F.shiftrightunsigned(F.xxhash64("id"), 64 - MAP_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(known.select(bucket), MAP_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = pa.array(bits_at(shared.value, batch.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], ["id", "_text"])
+
+    return docs.where("id is not null").select("id", "_text", bucket).mapInArrow(run, f"id {id_type}, _text string")
+
+
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
     """D1, D2 and D3+ from the numbers of n-grams counted once to four times."""
     r = counts.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
@@ -200,7 +218,8 @@ def perplexity_filter(
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("_text"))
     known = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("_known", F.lit(True))
-    marked = own.join(known, "id", "left").select("_text", F.coalesce("_known", F.lit(False)).alias("_trusted"))
+    likely = _likely(own, known, id_type)
+    marked = likely.join(known, "id", "left_semi").select("_text", F.lit(True).alias("_trusted")).unionByName(own.select("_text", F.lit(False).alias("_trusted")))
     grams = scratch.keep(count_ngrams(marked, order))
     logs = scratch.keep(probabilities(grams, order, scratch))
     shards = max(1, -(-logs.count() // shard_rows))

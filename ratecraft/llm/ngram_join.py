@@ -27,16 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .components import Scratch, components
+from .components import SMALL, Scratch, bit_map, bits_at, components
 
 #: log2 of the counters of the frequency sketch, and the blocks that it is summed in.
 SKETCH_BITS, BLOCKS = 21, 32
 #: log2 of the bits of the map that tells which sets are asked for.
 MAP_BITS = 23
 #: Centres of a token in a round, and rounds at most before all remaining pairs are compared.
-CENTRES, ROUNDS = 4, 8
+CENTRES, ROUNDS = 8, 8
 #: Comparisons that the last round may make for each row of the live tokens.
-MOST_PAIRS = 20
+MOST_PAIRS = 50
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[np.ndarray]:
@@ -110,18 +110,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
 def _asked(pairs: DataFrame) -> np.ndarray:
     """A bit map of fixed size of the classes in pairs."""
     bucket = F.shiftrightunsigned(F.xxhash64("r"), 64 - MAP_BITS)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("r")).select(bucket.alias("k")).distinct()
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << MAP_BITS, bool)
-        for batch in batches:
-            seen[batch.column(0).to_numpy()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(seen).tobytes(), 1)], pa.binary())], ["m"])
-
-    out = np.zeros(1 << MAP_BITS >> 3, np.uint8)
-    for r in wanted.mapInArrow(pack, "m binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(bytes(r.m)), np.uint8)
-    return out
+    return bit_map(pairs.select(F.explode(F.array("a", "b")).alias("r")).select(bucket.alias("k")), MAP_BITS)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -141,8 +130,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, percent: in
             if not rid:
                 continue
             found = pa.array(rid, pa.int64())
-            slot = _xx_slots(found.to_numpy())
-            hit = (asked[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+            hit = bits_at(asked, _xx_slots(found.to_numpy()))
             keep, sets = [], []
             for r, u, h in zip(rid, out, hit):
                 if h and r not in done:
@@ -159,7 +147,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, percent: in
     one = sets.select(F.col("rid").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("rid").alias("b"), F.col("items").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
-    good = pairs.join(one, "a").join(two, "b").where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
+    good = one.join(scratch.small(pairs), "a").join(two, "b").where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
     good = scratch.keep(good)
     scratch.drop(sets)
     return good
@@ -191,7 +179,7 @@ def _filtered(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     count = lambda c, i: F.conv(F.hex(F.concat(F.substring(c, 2 * i + 2, 1), F.substring(c, 2 * i + 1, 1))), 16, 10).cast("int")
     apart = sum((F.abs(count("pivotsa", i) - count("pivotsb", i)) for i in range(1, 16)), F.abs(count("pivotsa", 0) - count("pivotsb", 0)))
     na, nb = F.col("na"), F.col("nb")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("compa != compb")
+    both = side("a").join(pairs, "a").join(side("b"), "b").where("compa != compb")
     fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart <= na + nb - 2 * _need(na, nb, percent))
     return both.where(fits).select("a", "b")
 
@@ -243,13 +231,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             found = live.join(other, "tok").where(fits)
         found = found.select(F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")).distinct()
         known = meta.withColumn("comp", F.col("rid")) if comps is None else meta.join(comps, "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-        candidates = scratch.keep(_filtered(found, known, percent))
+        found = scratch.keep(found)
+        few = found.count() <= SMALL
+        met = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+        known = known.join(F.broadcast(met), "rid", "left_semi") if few else known
+        known = scratch.keep(known)
+        candidates = scratch.keep(_filtered(F.broadcast(found) if few else found, scratch.small(known), percent))
         links.append(verify(candidates, docs, text_col, k, percent, scratch))
-        scratch.drop(live, candidates)
+        scratch.drop(live, found, known, candidates)
         edges = links[0]
         for more in links[1:]:
             edges = edges.unionByName(more)
-        comps = scratch.keep(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).withColumnRenamed("u", "rid"))
+        comps = scratch.small(scratch.keep(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).withColumnRenamed("u", "rid")))
         if last:
             break
     classes = all_docs.where("rid is not null").groupBy("rid").agg(F.min("id").alias("low"))
