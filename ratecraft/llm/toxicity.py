@@ -36,24 +36,28 @@ def learn(samples: list[np.ndarray], y: np.ndarray, orders: tuple[int, ...], bit
     table = np.zeros(size, np.float32)
     if not n1 or not n0:
         return Model(table, prior if len(y) else -2.0, orders, bits)
-    cols = np.concatenate(samples)
-    rows = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
-    hot = y[rows] == 1
-    p, q = np.bincount(cols[hot], minlength=size), np.bincount(cols[~hot], minlength=size)
-    ratio = np.log((p + smoothing) / (n1 + 2 * smoothing)) - np.log((q + smoothing) / (n0 + 2 * smoothing))
+    p, q = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for own, label in zip(samples, y):
+        (p if label == 1 else q)[own] += 1
+    # Ratios are taken of the buckets that enough documents hold, never of whole rows of the sample.
+    use = np.flatnonzero(p + q >= min_documents)
+    hot, cold = p[use].astype(float), q[use].astype(float)
+    del p, q
+    ratio = np.log((hot + smoothing) / (n1 + 2 * smoothing)) - np.log((cold + smoothing) / (n0 + 2 * smoothing))
     # A ratio within the noise of its counts says nothing about a class.
-    sure = np.abs(ratio) > 2.5 * np.sqrt(1 / (p + smoothing) + 1 / (q + smoothing))
-    use = (p + q >= min_documents) & sure
-    number = np.cumsum(use) - 1
-    kept = use[cols]
-    rows, cols = rows[kept], cols[kept]
+    sure = np.abs(ratio) > 2.5 * np.sqrt(1 / (hot + smoothing) + 1 / (cold + smoothing))
+    use, ratio = use[sure], ratio[sure]
+    number = np.full(size, -1, np.int32)
+    number[use] = np.arange(len(use), dtype=np.int32)
+    kept = [c[c >= 0] for c in (number[own] for own in samples)]
+    rows, cols = np.repeat(np.arange(len(kept), dtype=np.int32), [len(c) for c in kept]), np.concatenate(kept)
     weight = np.where(y == 1, np.sqrt(n0 / n1), 1.0)  # misses cost more than their share
-    w, bias = logistic(rows, number[cols], ratio[cols], y.astype(float), weight, int(use.sum()), l2, steps, 0.02)
-    table[use] = w * ratio[use]
+    w, bias = logistic(rows, cols, ratio[cols], y.astype(float), weight, len(use), l2, steps, 0.02)
+    table[use] = w * ratio
     return Model(table, bias, orders, bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", orders: tuple[int, ...] = (4, 5, 6), bits: int = 22, sample_positive: int = 1500, sample_negative: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", orders: tuple[int, ...] = (4, 5, 6), bits: int = 22, sample_positive: int = 1000, sample_negative: int = 2000) -> Model:
     """Trains on a bounded sample of labelled documents, chosen by a hash of their id.
 
     At most ``sample_positive`` and ``sample_negative`` documents are used, each with its
@@ -74,9 +78,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not ids:
         return learn([], np.zeros(0), orders, bits)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isin(list(ids)) & F.col("_text").isNotNull())
-    got = texts.mapInArrow(rows, f"_id {docs.schema[id_col].dataType.simpleString()}, f binary").collect()
-    got.sort(key=lambda r: (r._id, len(r.f)))
-    return learn([np.frombuffer(bytes(r.f), np.uint32) for r in got], np.array([ids[r._id] for r in got]), orders, bits)
+    # One partition at a time comes to the driver.
+    found = texts.mapInArrow(rows, f"_id {docs.schema[id_col].dataType.simpleString()}, f binary").toLocalIterator()
+    got = sorted(((r._id, np.frombuffer(bytes(r.f), np.uint32)) for r in found), key=lambda x: (x[0], len(x[1])))
+    return learn([f for _, f in got], np.array([ids[i] for i, _ in got]), orders, bits)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
