@@ -85,8 +85,14 @@ def totals(scored: DataFrame, family: Family, y: Column, w: Column, o: Column, m
     return {k: (float(v) if v is not None else math.nan) for k, v in got.asDict().items()}
 
 
+def _log_factorials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One number a partition: the sum of w * lgamma(y + 1) over its rows (y, w)."""
+    sums = [math.fsum(w * math.lgamma(y + 1) for y, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())) for b in batches]
+    yield pa.RecordBatch.from_arrays([pa.array([math.fsum(sums)], pa.float64())], ["s"])
+
+
 def log_likelihood(scored: DataFrame, family: Family, t: dict[str, float], y: Column, w: Column, dispersion: float) -> float | None:
-    """Weighted log-likelihood; None for tweedie. Log factorials are summed over distinct responses."""
+    """Weighted log-likelihood; None for tweedie. Log factorials are summed over distinct responses, on the executors where these are many."""
     if family.name == "gaussian":
         n = t["n"]
         return -0.5 * (n * math.log(2 * math.pi * t["deviance"] / n) + n - t["logw"]) if t["deviance"] > 0 else None
@@ -97,7 +103,9 @@ def log_likelihood(scored: DataFrame, family: Family, t: dict[str, float], y: Co
         # lgamma of distinct responses, which for counts are few.
         few = counts.limit(200_001).collect()
         if len(few) > 200_000:
-            return None
+            few = None
+            parts = counts.select(F.col("y").cast("double"), F.col("w").cast("double")).mapInArrow(_log_factorials, "s double")
+            return t["poisson"] - math.fsum(r.s for r in parts.toLocalIterator())
         return t["poisson"] - math.fsum(r.w * math.lgamma(r.y + 1) for r in few)
     if family.name == "gamma":
         k = 1 / max(dispersion, 1e-300)
