@@ -4,7 +4,8 @@ Counts come from all trusted text.  Every distinct n-gram of the corpus gets its
 probability by joins, order by order, of n-gram counts with context totals.  The
 joined table is cut into shards of bounded size; documents are scored against one shard at
 a time and the partial sums added.  Documents whose perplexity is above a quantile of
-the trusted documents of their language are rejected.
+the trusted documents of their language are rejected.  The perplexities of that quantile are held
+out: trusted documents fall into folds by a hash of their id, and each is scored by the model of the other folds.
 
 An n-gram packs characters of 12 bits each into a long; characters from U+1000 on share the
 upper half of the classes by a hash, and white space is one blank.
@@ -16,13 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import Scratch, bit_map, bits_at
 
 WIDTH = 12
+#: Folds of the trusted documents; a fold's code takes three bits beside an n-gram of 60.
+FOLDS = 5
 #: N-grams of one shard: about 100 MB in each Python worker at most.
 SHARD_ROWS = 2_000_000
 #: log2 of the bits of the map of trusted ids.
@@ -70,6 +74,7 @@ class _Counter:
         if not self.keys:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        self.keys, self.counts = [], []
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -77,75 +82,103 @@ class _Counter:
 
 
 def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
-    """(g, c): every n-gram of ``_text`` with its count in rows where ``_trusted`` holds, 0 where in none."""
+    """(g, m0, m1 ...): every n-gram of ``_text`` with its count in trusted rows, and in those outside each fold.
+
+    ``_fold`` is 0 for rows that aren't trusted, else the number of the fold.
+    """
+    own = [f"c{f}" for f in range(1, FOLDS + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for batch in batches:
-            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            folds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for chunk in K.chunks(batch.column(0)):
                 grams, at = packed(chunk, order)
                 n, place = _starts(at, order)
                 if not len(place):
                     continue
-                weight = np.repeat(trusted[chunk.first : chunk.first + chunk.n], n)
-                key = np.sort(grams[place] << 1 | weight)
+                key = grams[place]
+                del grams, place
+                key <<= 3
+                key |= np.repeat(folds[chunk.first : chunk.first + chunk.n], n)
+                key.sort()
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                counter.add(key[first] >> 1, np.diff(np.r_[first, len(key)]) * (key[first] & 1))
+                counter.add(key[first], np.diff(np.r_[first, len(key)]))
         keys, counts = counter.total()
-        for a in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(counts[a : a + 100_000])], ["g", "c"])
+        edge = np.flatnonzero(np.r_[True, keys[1:] >> 3 != keys[:-1] >> 3]) if len(keys) else np.zeros(0, np.int64)
+        edge = np.r_[edge, len(keys)]
+        for a in range(0, len(edge) - 1, 100_000):
+            ends = edge[a : a + 100_001]
+            some, c = keys[ends[0] : ends[-1]], counts[ends[0] : ends[-1]]
+            # Column 0 takes what no trusted text has, and is not given on.
+            out = np.zeros((FOLDS + 1, len(ends) - 1), np.int64)
+            out[some & 7, np.repeat(np.arange(len(ends) - 1), np.diff(ends))] = c
+            yield pa.RecordBatch.from_arrays([pa.array(keys[ends[:-1]] >> 3), *[pa.array(x) for x in out[1:]]], ["g", *own])
+
+    sums = docs.select("_text", "_fold").mapInArrow(run, "g long, " + ", ".join(f"{c} long" for c in own)).groupBy("g").agg(*[F.sum(c).alias(c) for c in own])
+    total = sum((F.col(c) for c in own[1:]), F.col(own[0]))
+    return sums.select("g", total.alias("m0"), *[(total - F.col(c)).alias(f"m{f}") for f, c in enumerate(own, 1)])
+
 
-    return docs.select("_text", "_trusted").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+def _bucket() -> Column:
+    """The place of an id in the bit map of trusted ids."""
+    return F.shiftrightunsigned(F.xxhash64("id"), 64 - MAP_BITS).alias("bucket")
 
 
-def _likely(docs: DataFrame, known: DataFrame, id_type: str) -> DataFrame:
+def _hits(ids: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose last column, a bucket, is in the map; that column goes."""
+    for batch in batches:
+        hit = pa.array(bits_at(ids.value, batch.column(batch.num_columns - 1).to_numpy()))
+        yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns[:-1]], batch.schema.names[:-1])
+
+
+def _likely(docs: DataFrame, ids: Broadcast, id_type: str) -> DataFrame:
     """(id, _text) of the documents whose id's hash is that of a known one, so that few other texts are shuffled.
 
     The map has 2**MAP_BITS bits at any input size; a join decides afterwards.
     """
-    bucket = F.shiftrightunsigned(F.xxhash64("id"), 64 - MAP_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(known.select(bucket), MAP_BITS))
+    return docs.where("id is not null").select("id", "_text", _bucket()).mapInArrow(lambda batches: _hits(ids, batches), f"id {id_type}, _text string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = pa.array(bits_at(shared.value, batch.column(2).to_numpy()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], ["id", "_text"])
 
-    return docs.where("id is not null").select("id", "_text", bucket).mapInArrow(run, f"id {id_type}, _text string")
-
-
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """D1, D2 and D3+ from the numbers of n-grams counted once to four times."""
-    r = counts.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
-    n = [max(x, 0) for x in r]
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    d = [i + 1 - (i + 2) * y * n[i + 1] / n[i] if n[i] else (i + 1) * 0.5 for i in range(3)]
-    return tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))
+def discounts(counts: DataFrame) -> list[tuple[float, float, float]]:
+    """D1, D2 and D3+ of each model from the numbers of n-grams counted once to four times."""
+    r = counts.agg(*[F.count(F.when(F.col(f"m{m}") == i, 1)).alias(f"n{m}_{i}") for m in range(FOLDS + 1) for i in range(1, 5)]).first()
+    out = []
+    for m in range(FOLDS + 1):
+        n = [max(x, 0) for x in r[4 * m : 4 * m + 4]]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [i + 1 - (i + 2) * y * n[i + 1] / n[i] if n[i] else (i + 1) * 0.5 for i in range(3)]
+        out.append(tuple(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)))
+    return out
 
 
 def probabilities(grams: DataFrame, order: int, scratch: Scratch) -> DataFrame:
-    """(g, logp) of every n-gram of ``grams`` (g, c); lower orders count distinct continuations."""
+    """(g, p0, p1 ..., m0, m1 ...) of every n-gram of ``grams`` (g, m0, m1 ...), by each model; lower orders count distinct continuations."""
+    models = range(FOLDS + 1)
     levels = [grams]
     for n in range(order - 1, 0, -1):
         mask = (1 << WIDTH * n) - 1
-        levels.append(scratch.keep(levels[-1].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"))))
+        levels.append(scratch.keep(levels[-1].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(*[F.sum((F.col(f"m{m}") > 0).cast("long")).alias(f"m{m}") for m in models])))
     below = None
     for n, level in zip(range(1, order + 1), reversed(levels)):
-        d1, d2, d3 = discounts(level)
-        c = F.col("c")
-        discount = F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3)
+        cut = []
+        for m, (d1, d2, d3) in enumerate(discounts(level)):
+            c = F.col(f"m{m}")
+            cut.append(F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3))
         context = F.shiftright("g", WIDTH).alias("context") if n > 1 else F.lit(0).cast("long").alias("context")
-        total = level.where("c > 0").groupBy(context).agg(F.sum("c").alias("total"), F.sum(discount).alias("spare"))
+        total = level.where("m0 > 0").groupBy(context).agg(*[F.sum(f"m{m}").alias(f"total{m}") for m in models], *[F.sum(cut[m]).alias(f"spare{m}") for m in models])
         own = level.withColumn("context", context).join(total, "context", "left")
-        if below is None:
-            lower = F.lit(1.0 / (1 << WIDTH))
-        else:
-            own = own.withColumn("tail", F.col("g").bitwiseAND(F.lit((1 << WIDTH * (n - 1)) - 1))).join(below.select(F.col("g").alias("tail"), F.col("p").alias("lower")), "tail")
-            lower = F.col("lower")
-        p = F.when(F.col("total").isNull(), lower).otherwise((F.greatest(c - discount, F.lit(0.0)) + F.col("spare") * lower) / F.col("total"))
-        below = scratch.keep(own.select("g", p.alias("p")))
-    return below.select("g", F.log("p").alias("logp"))
+        if below is not None:
+            own = own.withColumn("tail", F.col("g").bitwiseAND(F.lit((1 << WIDTH * (n - 1)) - 1))).join(below.select(F.col("g").alias("tail"), *[F.col(f"p{m}").alias(f"lower{m}") for m in models]), "tail")
+        p = []
+        for m in models:
+            lower = F.lit(1.0 / (1 << WIDTH)) if below is None else F.col(f"lower{m}")
+            seen = F.coalesce(F.col(f"total{m}"), F.lit(0))
+            p.append(F.when(seen == 0, lower).otherwise((F.greatest(F.col(f"m{m}") - cut[m], F.lit(0.0)) + F.col(f"spare{m}") * lower) / seen).alias(f"p{m}"))
+        last = below
+        below = scratch.keep(own.select("g", *p, *([f"m{m}" for m in models] if n == order else [])))
+        scratch.drop(level, *([] if last is None else [last]))
+    return below
 
 
 class Table:
@@ -183,23 +216,47 @@ class Table:
         return out
 
 
-def _sums(docs: DataFrame, table: Table, order: int, id_type: str) -> DataFrame:
-    """(id, lang, k, n, s): number of n-grams and sum of log-probabilities that this shard has."""
+def _sums(docs: DataFrame, table: Table, order: int, id_type: str, ids: Broadcast | None) -> DataFrame:
+    """(id, lang, k, n, s): number of n-grams and sum of log-probabilities that this shard has under the model ``_fold``.
+
+    With ``ids``, a bit map, only of the documents in it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)  # SHARD_ROWS n-grams at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in batches if ids is None else _hits(ids, batches):
+            folds = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64) << 60
             for chunk in K.chunks(batch.column(3)):
                 grams, at = packed(chunk, order)
                 n, place = _starts(at, order)
-                total = np.zeros(len(place) + 1)
-                np.cumsum(own.get(grams[place]), out=total[1:], dtype=np.float64)
+                asked = grams[place]
+                del grams, place
+                asked |= np.repeat(folds[chunk.first : chunk.first + chunk.n], n)
+                total = np.zeros(len(asked) + 1)
+                np.cumsum(own.get(asked), out=total[1:], dtype=np.float64)
                 end = np.cumsum(n)
                 cut = [batch.column(i).slice(chunk.first, chunk.n) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*cut, pa.array(n.astype(np.int64)), pa.array(total[end] - total[end - n])], ["id", "lang", "k", "n", "s"])
 
-    return docs.select("id", "lang", F.xxhash64("_text").alias("k"), "_text").mapInArrow(run, f"id {id_type}, lang string, k long, n long, s double")
+    if ids is not None:
+        docs = docs.where("id is not null")
+    return docs.select("id", "lang", F.xxhash64("_text").alias("k"), "_text", "_fold", *([] if ids is None else [_bucket()])).mapInArrow(run, f"id {id_type}, lang string, k long, n long, s double")
+
+
+def _perplexities(docs: DataFrame, logs: DataFrame, order: int, id_type: str, shard_rows: int, ids: Broadcast | None = None) -> DataFrame:
+    """(id, lang, n, perplexity) of each document by the model ``_fold``; ``logs`` (g, logp) has the model's number above an n-gram."""
+    shards = max(1, -(-logs.count() // shard_rows))
+    sums = None
+    for i in range(shards):
+        some = logs.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == i).toArrow()
+        part = _sums(docs, Table(some.column(0).to_numpy(), some.column(1).to_numpy().astype(np.float32)), order, id_type, ids)
+        sums = part if sums is None else sums.unionByName(part)
+    if shards > 1:
+        # Equal rows meet in one group; each stands for as many documents as a shard has of it.
+        sums = sums.groupBy("id", "lang", "k", "n").agg((F.sum("s") / F.count("*") * shards).alias("s"), (F.count("*") / shards).cast("int").alias("copies"))
+        sums = sums.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
+    return sums.select("id", "lang", "n", F.when(F.col("n") > 0, F.exp(-F.col("s") / F.col("n"))).alias("perplexity"))
 
 
 def perplexity_filter(
@@ -207,9 +264,11 @@ def perplexity_filter(
 ) -> DataFrame:
     """Perplexity of every whole text, and whether it is at most its language's threshold.
 
-    ``trusted`` holds the ids of trusted documents in ``id_col``; their texts train the model and their perplexities give the
-    ``quantile`` of each language.  Returns ``id_col``, lang, n_ngrams, perplexity, threshold and kept.  A
-    language without trusted texts takes the threshold of all trusted texts, and everything is kept where there are none.
+    ``trusted`` holds the ids of trusted documents in ``id_col``; their texts train the model.  The ``quantile`` of each
+    language is taken of all its trusted documents' perplexities by models of the other folds, so no document has a part in the
+    counts that its own perplexity for the threshold comes from; the column perplexity is that of the whole model.  Returns
+    ``id_col``, lang, n_ngrams, perplexity, threshold and kept.  Only a language without any trusted text of
+    ``order`` characters takes the threshold of all trusted texts, and everything is kept where there are none.
     Null languages form one of their own.  Texts shorter than ``order`` characters, null ones included, have no
     perplexity and are kept.  Repeated rows come back each; null ids are never trusted.
     """
@@ -218,24 +277,18 @@ def perplexity_filter(
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("_text"))
     known = trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("_known", F.lit(True))
-    likely = _likely(own, known, id_type)
-    marked = likely.join(known, "id", "left_semi").select("_text", F.lit(True).alias("_trusted")).unionByName(own.select("_text", F.lit(False).alias("_trusted")))
+    ids = spark.sparkContext.broadcast(bit_map(known.select(_bucket()), MAP_BITS))
+    of_id = (F.pmod(F.xxhash64("id"), F.lit(FOLDS)) + 1).cast("int").alias("_fold")
+    marked = _likely(own, ids, id_type).join(known, "id", "left_semi").select("_text", of_id).unionByName(own.select("_text", F.lit(0).alias("_fold")))
     grams = scratch.keep(count_ngrams(marked, order))
-    logs = scratch.keep(probabilities(grams, order, scratch))
-    shards = max(1, -(-logs.count() // shard_rows))
-    parts = []
-    for i in range(shards):
-        some = logs.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == i).toArrow()
-        parts.append(_sums(own, Table(some.column(0).to_numpy(), some.column(1).to_numpy().astype(np.float32)), order, id_type))
-    sums = parts[0]
-    if shards > 1:
-        for more in parts[1:]:
-            sums = sums.unionByName(more)
-        # Equal rows meet in one group; each stands for as many documents as a shard has of it.
-        sums = sums.groupBy("id", "lang", "k", "n").agg((F.sum("s") / F.count("*") * shards).alias("s"), (F.count("*") / shards).cast("int").alias("copies"))
-        sums = sums.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
-    scored = scratch.keep(sums.select("id", "lang", "n", F.when(F.col("n") > 0, F.exp(-F.col("s") / F.col("n"))).alias("perplexity")))
-    base = scored.join(known, "id").where("perplexity is not null").withColumn("key", F.coalesce("lang", F.lit("")))
+    every = probabilities(grams, order, scratch)
+    found = scratch.keep(every.select("g", F.log("p0").alias("l0"), *[F.when(F.col("m0") > F.col(f"m{f}"), F.log(f"p{f}")).cast("float").alias(f"l{f}") for f in range(1, FOLDS + 1)]))
+    scratch.drop(every)
+    scored = scratch.keep(_perplexities(own.withColumn("_fold", F.lit(0)), found.select("g", F.col("l0").alias("logp")), order, id_type, shard_rows))
+    # An n-gram that a fold's own texts don't have is never asked of the model without that fold.
+    each = F.explode(F.array(*[F.struct(F.col("g").bitwiseOR(F.lit(f << 60)).alias("g"), F.col(f"l{f}").alias("logp")) for f in range(1, FOLDS + 1)])).alias("x")
+    out_of_fold = _perplexities(own.withColumn("_fold", of_id), found.select(each).select("x.*").where("logp is not null"), order, id_type, shard_rows, ids)
+    base = scratch.keep(out_of_fold.where("perplexity is not null").join(known, "id").select("perplexity", F.coalesce("lang", F.lit("")).alias("key")))
     level = F.percentile_approx("perplexity", quantile, 20_000)
     by_lang = base.groupBy("key").agg(level.alias("own"))
     overall = base.agg(level.alias("q")).first().q
