@@ -184,24 +184,34 @@ def search(
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(router)  # a few thousand weights a part
 
-    def routed(frame: DataFrame, all_probed: bool) -> DataFrame:
+    def routed(frame: DataFrame, sizes: np.ndarray | None = None) -> DataFrame:
+        """Each vector with its part; given the sizes of parts, with every part that it probes."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 order, before = shared.value.ranked(_matrix(batch.column(1)))
-                row, rank = np.nonzero(before < (shared.value.mass if all_probed else 0.0) + 1e-300)
+                probed = before < (shared.value.mass if sizes is not None else 0.0) + 1e-300
+                if sizes is not None:
+                    # Probing goes on until there are k vectors besides the query.
+                    own = sizes[order]
+                    probed |= np.cumsum(own, 1) - own <= k
+                row, rank = np.nonzero(probed)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(order[row, rank].astype(np.int32))], ["id", "v", "part"])
 
         good = frame.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).groupBy("id").agg(F.min("v").alias("v"))
         return good.mapInArrow(run, f"id {id_type}, v array<double>, part int")
 
-    stored = routed(vectors, False)
-    blocks = stored.groupBy("part").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).cast("int").alias("blocks"))
+    stored = routed(vectors)
+    counted = {r.part: r["count"] for r in stored.groupBy("part").count().collect()}
+    sizes = np.zeros(len(router.b2), np.int64)
+    sizes[np.array(list(counted), np.int64)] = list(counted.values())
+    blocks = F.broadcast(spark.createDataFrame([(p, -(-n // block_rows)) for p, n in counted.items()], "part int, blocks int"))  # a row a part
     block_of = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
     stored = stored.join(blocks, "part").withColumn("block", block_of("id"))
-    asked = routed(queries, True).join(blocks, "part").select("id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asked = routed(queries, sizes).join(blocks, "part").select("id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         """The k nearest of one block for each query that probes it."""
