@@ -3,13 +3,15 @@
 1. A count sketch of fixed size gives every shingle a document frequency; shingles
    are ordered by it, rare first, and equal sets become one class.
 2. A class emits the prefix of its ordered set; sets that are similar enough share a prefix token.
-3. A token's place bounds the size of its partners (length and positional filter in one); rows whose bound
-   no other row of the token meets are dropped.  Pairs left pass a suffix filter (sizes of both sets
-   between fixed pivots of the hash space bound their difference), and each is verified on whole sets once.
-4. Classes linked are merged.  While tokens of many classes would give more pairs than
-   a multiple of their rows, each is joined with a few centres only, and what these link
-   is merged first; pairs inside a merged group need no further link.  Then
-   all remaining pairs across groups are verified, so no link between groups is missed.
+3. A token's place bounds the size of its partners (length and positional filter in one).  Rows are keyed by
+   token and size class, the smaller partner under the next size class too, and a key without partners goes.
+4. Merging rounds: every class with rows left goes to one home key.  Classes of a key are dealt into blocks of
+   bounded size by a hash of the round, all sets of a block are compared, and linked classes are merged.  A round's
+   work is linear in its classes.  Rounds go on while they at least halve the pairs that are still open.
+5. A pair inside a merged group needs no further link.  All pairs left, of different groups, are
+   joined on their prefix tokens, pass a suffix filter (sizes of both sets between fixed pivots of the hash space bound
+   their difference), and each is verified once on whole sets.  So no link between groups is missed.
+   Of a key's groups the largest meets the others only, never itself.
 
 Identity of shingles and sets rests on 64-bit hashes.
 """
@@ -17,6 +19,7 @@ Identity of shingles and sets rests on 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,22 +30,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .components import SMALL, Scratch, bit_map, bits_at, components
+from .components import Scratch, bit_map, bits_at, components
 
 #: log2 of the counters of the frequency sketch, and the blocks that it is summed in.
 SKETCH_BITS, BLOCKS = 21, 32
-#: log2 of the bits of the map that tells which sets are asked for.
-MAP_BITS = 23
-#: Centres of a token in a round, and rounds at most before all remaining pairs are compared.
-CENTRES, ROUNDS = 8, 8
-#: Comparisons that the last round may make for each row of the live tokens.
-MOST_PAIRS = 50
+#: log2 of the bits of the map that tells which sets are asked for: it grows with their number, up to 16 MB.
+LEAST_MAP_BITS, MOST_MAP_BITS = 20, 27
+#: Classes, and items of their sets, that one block of a merging round compares with one another.
+BLOCK_CLASSES, BLOCK_ITEMS = 128, 2_000_000
+#: Rows of one key that a task of the last join takes; a larger key is dealt over several.
+KEY_ROWS = 5_000
+#: Parts that the rows of one class or component are dealt over in the last joins.
+PARTS = 32
+
+
+def _chunk_sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[list[np.ndarray]]:
+    """The sets of the documents of a batch, a chunk at a time."""
+    for chunk in K.chunks(batch.column(column)):
+        w = K.words(chunk)
+        yield list(K.shingles(K.span_hashes(chunk.data, w.starts, w.ends, lower=True), w.first, k))
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[np.ndarray]:
-    for chunk in K.chunks(batch.column(column)):
-        w = K.words(chunk)
-        yield from K.shingles(K.span_hashes(chunk.data, w.starts, w.ends, lower=True), w.first, k)
+    for own in _chunk_sets(batch, column, k):
+        yield from own
 
 
 def _class_id(u: np.ndarray) -> int:
@@ -107,53 +118,31 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {id_type}, n int, rid long, pivots binary, prefix array<long>")
 
 
-def _asked(pairs: DataFrame) -> np.ndarray:
-    """A bit map of fixed size of the classes in pairs."""
-    bucket = F.shiftrightunsigned(F.xxhash64("r"), 64 - MAP_BITS)
-    return bit_map(pairs.select(F.explode(F.array("a", "b")).alias("r")).select(bucket.alias("k")), MAP_BITS)
-
+def sets_of(classes: DataFrame, docs: DataFrame, text_col: str, k: int, scratch: Scratch) -> DataFrame:
+    """(rid, items) of the classes (rid): their whole sets, each once.
 
-def verify(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_asked(pairs))
+    A broadcast bit map keeps most other sets from being shuffled; a join decides afterwards.
+    """
+    n = classes.count()
+    bits = min(MOST_MAP_BITS, max(LEAST_MAP_BITS, (8 * n).bit_length()))
+    asked = bit_map(classes.select(F.shiftrightunsigned(F.xxhash64("rid"), 64 - bits).alias("k")), bits)
+    shared = docs.sparkSession.sparkContext.broadcast(asked)  # 2**MOST_MAP_BITS bits at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
-        done: set[int] = set()
         for batch in batches:
-            rid, out = [], []
-            for u in _sets(batch, 0, k):
-                if len(u) and (r := _class_id(u)) not in done:
-                    rid.append(r)
-                    out.append(u)
-            if not rid:
-                continue
-            found = pa.array(rid, pa.int64())
-            hit = bits_at(asked, _xx_slots(found.to_numpy()))
-            keep, sets = [], []
-            for r, u, h in zip(rid, out, hit):
-                if h and r not in done:
-                    done.add(r)
-                    keep.append(r)
-                    sets.append(u.view(np.int64))
-            if len(done) > 200_000:
-                done.clear()
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rid", "items"])
-
-    sets = docs.select(text_col).mapInArrow(run, "rid long, items array<long>").groupBy("rid").agg(F.first("items").alias("items"))
-    sets = scratch.keep(sets)
-    one = sets.select(F.col("rid").alias("a"), F.col("items").alias("x"))
-    two = sets.select(F.col("rid").alias("b"), F.col("items").alias("y"))
-    same = F.size(F.array_intersect("x", "y"))
-    good = one.join(scratch.small(pairs), "a").join(two, "b").where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
-    good = scratch.keep(good)
-    scratch.drop(sets)
-    return good
+            for own in _chunk_sets(batch, 0, k):
+                some = [u for u in own if len(u)]
+                rid = np.array([_class_id(u) for u in some], np.int64)
+                hit = np.flatnonzero(bits_at(shared.value, _xx_slots(rid, bits)))
+                if len(hit):
+                    first = hit[np.unique(rid[hit], return_index=True)[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[first]), pa.array([some[i].view(np.int64) for i in first], pa.list_(pa.int64()))], ["rid", "items"])
+
+    found = docs.select(text_col).mapInArrow(run, "rid long, items array<long>").groupBy("rid").agg(F.first("items").alias("items"))
+    return scratch.keep(found.join(scratch.small(classes), "rid", "left_semi"))
 
 
-def _xx_slots(rid: np.ndarray) -> np.ndarray:
+def _xx_slots(rid: np.ndarray, bits: int) -> np.ndarray:
     """The map's slot of each class, as Spark's xxhash64 of a long with seed 42 gives it."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     rotl = lambda x, r: x << np.uint64(r) | x >> np.uint64(64 - r)
@@ -165,7 +154,66 @@ def _xx_slots(rid: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= p3
     h ^= h >> np.uint64(32)
-    return (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar enough."""
+    one = sets.select(F.col("rid").alias("a"), F.col("items").alias("x"))
+    two = sets.select(F.col("rid").alias("b"), F.col("items").alias("y"))
+    same = F.size(F.array_intersect("x", "y"))
+    return one.join(pairs, "a").join(two, "b").where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
+
+
+def overlaps(offsets: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets that lie one after another in ``items``."""
+    n = len(offsets) - 1
+    out = np.zeros((n, n))
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    order = np.argsort(items, kind="stable")
+    ranked, owner = items[order], owner[order]
+    first = np.r_[True, ranked[1:] != ranked[:-1]]
+    number = np.cumsum(first) - 1
+    # An item of one set only is in no intersection.
+    many = np.bincount(number) > 1
+    at = np.flatnonzero(many[number])
+    number, owner = (np.cumsum(many) - 1)[number[at]], owner[at]
+    width = max(1, (1 << 22) // max(1, n))
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        lo, hi = np.searchsorted(number, (a, a + width))
+        has = np.zeros((n, int(number[hi - 1]) - a + 1), np.float32)
+        has[owner[lo:hi], number[lo:hi] - a] = 1
+        out += has @ has.T
+    return out
+
+
+def block_roots(rid: np.ndarray, offsets: np.ndarray, items: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of a block the least class that links of the block lead to."""
+    same = overlaps(offsets, items)
+    n = np.diff(offsets)
+    linked = 100 * same >= percent * (n[:, None] + n[None, :] - same)
+    np.fill_diagonal(linked, True)
+    root = rid.copy()
+    while True:
+        least = np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1)
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _merged(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): classes and those that they are linked with, found inside the blocks of ``homes`` (rid, key, block)."""
+
+    def run(own: pa.Table) -> pa.Table:
+        rid, items = own.column("rid").to_numpy(), own.column("items").combine_chunks()
+        if isinstance(items, pa.ChunkedArray):
+            items = pa.concat_arrays(items.chunks)
+        offsets = items.offsets.to_numpy().astype(np.int64)
+        root = block_roots(rid, offsets - offsets[0], items.flatten().to_numpy(), percent)
+        got = np.flatnonzero(root != rid)
+        return pa.table([pa.array(rid[got]), pa.array(root[got])], ["u", "v"])
+
+    return sets.join(homes, "rid").select("rid", "items", "key", "block").groupBy("key", "block").applyInArrow(run, "u long, v long")
 
 
 def _need(n1: Column, n2: Column, percent: int) -> Column:
@@ -174,14 +222,70 @@ def _need(n1: Column, n2: Column, percent: int) -> Column:
 
 
 def _filtered(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different groups that pass the length and the suffix filter."""
-    side = lambda x: meta.select(F.col("rid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "pivots", "comp")])
+    """Pairs (a, b) that pass the length and the suffix filter."""
+    side = lambda x: meta.select(F.col("rid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "pivots")])
     count = lambda c, i: F.conv(F.hex(F.concat(F.substring(c, 2 * i + 2, 1), F.substring(c, 2 * i + 1, 1))), 16, 10).cast("int")
     apart = sum((F.abs(count("pivotsa", i) - count("pivotsb", i)) for i in range(1, 16)), F.abs(count("pivotsa", 0) - count("pivotsb", 0)))
     na, nb = F.col("na"), F.col("nb")
-    both = side("a").join(pairs, "a").join(side("b"), "b").where("compa != compb")
     fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart <= na + nb - 2 * _need(na, nb, percent))
-    return both.where(fits).select("a", "b")
+    return side("a").join(pairs, "a").join(side("b"), "b").where(fits).select("a", "b")
+
+
+def prefix_rows(reps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(key, rid, n, cap, own, c): prefix tokens of classes by token and size class, where a key has two rows that may be partners.
+
+    ``own`` marks the key of the class's own size, where it takes smaller partners; in all its keys a row with
+    cap >= n, n being its size, takes larger ones up to ``cap``.  ``c`` is the number of rows of the key.
+    """
+    # A token at a place leaves n - place items that can be shared, so a partner has ``cap`` items at most.
+    cap = F.expr(f"(n - pos) * {100 + percent} div {percent} - n")
+    tokens = reps.select("rid", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "rid", (F.shiftleft(F.col("n").cast("long"), 32) + cap).alias("at"))
+    n, cap = F.shiftright("at", 32), F.col("at") % (1 << 32)
+    # Rows without a partner of a size that suits both are dropped by the least size and the largest cap of their token.
+    common = scratch.keep(tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min(n).alias("lo"), F.max(cap).alias("hi")).where("c > 1").drop("c"))
+    rows = tokens.join(scratch.small(common), "tok").where((cap >= F.col("lo")) & (n <= F.col("hi"))).select("tok", "rid", n.alias("n"), cap.alias("cap"))
+    size_class = lambda c: F.floor(F.log(c.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    own, last = size_class(F.col("n")), size_class(F.greatest("cap", "n"))
+    rows = rows.select(F.col("tok"), "rid", "n", "cap", own.alias("b0"), F.explode(F.sequence(own, last)).alias("b"))
+    rows = scratch.keep(rows.select(F.xxhash64("tok", "b").alias("key"), "rid", F.col("n").cast("int").alias("n"), F.col("cap").cast("int").alias("cap"), (F.col("b") == F.col("b0")).alias("own")))
+    lead = F.col("cap") >= F.col("n")
+    keys = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("c"), F.count_if("own").alias("p"), F.count_if(lead).alias("l")).where("p > 0 and l > 0 and c > 1"))
+    some = (lead & (F.col("p") > F.col("own").cast("int"))) | (F.col("own") & (F.col("l") > lead.cast("int")))
+    out = scratch.keep(rows.join(scratch.small(keys), "key").where(some).select("key", "rid", "n", "cap", "own", "c"))
+    scratch.drop(common, rows, keys)
+    return out
+
+
+def _open(rows: DataFrame, comps: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, float]:
+    """Rows of the keys that hold more than one group, with their group and whether it is the key's largest; and the pairs that those keys can still give."""
+    if comps is None:
+        grouped = rows.withColumn("comp", F.col("rid"))
+    else:
+        grouped = rows.join(scratch.small(comps), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
+    grouped = scratch.keep(grouped)
+    of = grouped.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("most")).where("most.c < c")
+    of = scratch.keep(of.select("key", F.col("c").alias("all"), F.col("most.comp").alias("main"), F.col("most.c").alias("held")))
+    pairs = of.agg(F.sum((F.col("all") - F.col("held")) * F.col("all").cast("double"))).first()[0] or 0.0
+    live = scratch.keep(grouped.join(scratch.small(of), "key").select("key", "rid", "n", "cap", "own", "comp", F.col("all").alias("c"), (F.col("comp") == F.col("main")).alias("main")))
+    scratch.drop(grouped, of)
+    return live, pairs
+
+
+def open_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes of different groups whose rows allow them, each smaller row joined with larger ones of its key.
+
+    The rows of a large key are dealt over parts by a hash of their class; the rows outside its largest group go to all parts.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("c") / KEY_ROWS)).cast("int")
+    part = F.pmod(F.xxhash64("rid", F.lit(7)), parts).cast("int")
+    one = live.select("key", part.alias("part"), *[F.col(c).alias(c + "1") for c in ("rid", "n", "cap", "own", "comp", "main")])
+    two = live.where("not main").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(c + "2") for c in ("rid", "n", "cap", "own", "comp")])
+    # The smaller partner, or of equal ones that of the lesser id, leads; the other is in the key of its own size.
+    leads = F.struct("n1", "rid1") < F.struct("n2", "rid2")
+    fits = (F.col("comp1") != F.col("comp2")) & (F.col("n1") <= F.col("cap2")) & (F.col("n2") <= F.col("cap1")) & F.when(leads, F.col("own2")).otherwise(F.col("own1"))
+    # Two rows outside the largest group meet from both sides.
+    once = F.col("main1") | leads
+    return one.join(two, ["key", "part"]).where(fits & once).select(F.least("rid1", "rid2").alias("a"), F.greatest("rid1", "rid2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -195,62 +299,53 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    all_docs = scratch.keep(signatures(docs, id_col, text_col, k, percent, frequencies(docs, text_col, k)))
-    reps = scratch.keep(all_docs.where("rid is not null").groupBy("rid").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("prefix").alias("prefix")))
-    # A token at a place leaves n - place items that can be shared, so a partner has ``cap`` items at most.
-    cap = F.expr(f"(n - pos) * {100 + percent} div {percent} - n")
-    tokens = reps.select("rid", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "rid", (F.shiftleft(F.col("n").cast("long"), 32) + cap).alias("at"))
-    n, cap = F.shiftright("at", 32), F.col("at") % (1 << 32)
-    # Rows without a partner of a size that suits both are dropped by the least size and the largest cap of their token.
-    common = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min(n).alias("lo"), F.max(cap).alias("hi")).where("c > 1").drop("c")
-    rows = scratch.keep(tokens.join(common, "tok").where((cap >= F.col("lo")) & (n <= F.col("hi"))).select("tok", "rid", n.alias("n"), cap.alias("cap")))
-    meta = reps.select("rid", "n", "pivots")
-    comps = None
-    links: list[DataFrame] = []
-    for turn in range(ROUNDS + 1):
-        grouped = rows.withColumn("comp", F.col("rid")) if comps is None else rows.join(comps, "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-        open_tokens = grouped.groupBy("tok").agg(F.min("comp").alias("g0"), F.max("comp").alias("g1"), F.min("n").alias("lo"), F.max("cap").alias("hi")).where("g0 < g1").select("tok", "lo", "hi")
-        live = scratch.keep(grouped.join(open_tokens, "tok").where("cap >= lo and n <= hi").drop("lo", "hi"))
-        # Of two partners the smaller has its token in the first part of its prefix, where its cap is its own size or more.
-        sizes = live.groupBy("tok", "comp").agg(F.count("*").alias("c"), F.count(F.when(F.col("cap") >= F.col("n"), 1)).alias("k")).groupBy("tok").agg(F.sum("c").alias("s"), F.sum("k").alias("t"), F.sum(F.col("c") * F.col("k")).alias("q"))
-        pairs, n_rows = sizes.agg(F.coalesce(F.sum(F.col("s") * F.col("t").cast("double") - F.col("q")), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0))).first()
-        if not pairs:
-            break
-        last = pairs <= MOST_PAIRS * n_rows or turn == ROUNDS
-        fits = (F.col("n") <= F.col("cap2")) & (F.col("n2") <= F.col("cap")) & (F.col("comp") != F.col("comp2"))
-        if last:
-            other = live.select("tok", *[F.col(c).alias(c + "2") for c in ("rid", "n", "cap", "comp")])
-            # The smaller partner, or of equal ones that of the lesser id, leads.
-            found = live.where("cap >= n").join(other, "tok").where(fits & (F.struct("n", "rid") < F.struct("n2", "rid2")))
-        else:
-            flips = [int(x) for x in K._stream(1000 + turn, CENTRES).view(np.int64)]
-            # The least value of an id with some bits turned over stands for a member that all tokens tend to agree on.
-            centres = live.groupBy("tok").agg(*[F.min(F.col("rid").bitwiseXOR(F.lit(x))).alias(f"m{i}") for i, x in enumerate(flips)])
-            centres = centres.select("tok", F.explode(F.array_distinct(F.array(*[F.col(f"m{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(flips)]))).alias("rid"))
-            other = live.join(centres, ["tok", "rid"]).select("tok", *[F.col(c).alias(c + "2") for c in ("rid", "n", "cap", "comp")])
-            found = live.join(other, "tok").where(fits)
-        found = found.select(F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")).distinct()
-        known = meta.withColumn("comp", F.col("rid")) if comps is None else meta.join(comps, "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-        found = scratch.keep(found)
-        few = found.count() <= SMALL
-        met = found.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        known = known.join(F.broadcast(met), "rid", "left_semi") if few else known
-        known = scratch.keep(known)
-        candidates = scratch.keep(_filtered(F.broadcast(found) if few else found, scratch.small(known), percent))
-        links.append(verify(candidates, docs, text_col, k, percent, scratch))
-        scratch.drop(live, found, known, candidates)
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        comps = scratch.small(scratch.keep(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).withColumnRenamed("u", "rid")))
-        if last:
+    signed = scratch.keep(signatures(docs, id_col, text_col, k, percent, frequencies(docs, text_col, k)))
+    reps = scratch.keep(signed.where("rid is not null").groupBy("rid").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("prefix").alias("prefix")))
+    all_docs = scratch.keep(signed.select("id", "n", "rid"))
+    scratch.drop(signed)
+    rows = prefix_rows(reps, percent, scratch)
+    meta = scratch.keep(reps.join(scratch.small(scratch.keep(rows.select("rid").distinct())), "rid", "left_semi").select("rid", "n", "pivots"))
+    scratch.drop(reps)
+    sets = sets_of(meta.select("rid"), docs, text_col, k, scratch)
+    # A block holds sets of about one size; how many depends on that size too.
+    about = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double"))))
+    held = F.greatest(F.lit(2.0), F.least(F.lit(float(BLOCK_CLASSES)), F.lit(float(BLOCK_ITEMS)) / about))
+    comps, edges, turn = None, None, 0
+    live, pairs = _open(rows, None, scratch)
+    while pairs:
+        # In the first round the largest key, then one by chance that like sets agree on.
+        rank = F.struct("c", "key", "n") if not turn else F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "c", "n")
+        homes = live.groupBy("rid").agg(F.max(rank).alias("x")).select("rid", "x.key", "x.c", "x.n")
+        homes = homes.select("rid", "key", F.pmod(F.xxhash64("rid", F.lit(turn)), F.greatest(F.lit(1), F.ceil(F.col("c") / held))).cast("int").alias("block"))
+        found = scratch.keep(_merged(scratch.small(scratch.keep(homes)), sets, percent))
+        edges = found if edges is None else scratch.keep(edges.unionByName(found))
+        comps = scratch.keep(components(edges, scratch).withColumnRenamed("u", "rid"))
+        before, turn = pairs, turn + 1
+        scratch.drop(live)
+        live, pairs = _open(rows, comps, scratch)
+        if 2 * pairs > before:
             break
-    classes = all_docs.where("rid is not null").groupBy("rid").agg(F.min("id").alias("low"))
-    if comps is None:
-        found = classes.select("rid", F.col("low").alias("component_id"))
-    else:
-        classes = classes.join(comps, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        lowest = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-        found = classes.join(lowest, "root").select("rid", "component_id")
-    out = all_docs.select("id", "n", "rid").join(found, "rid", "left")
+    if pairs:
+        found = scratch.keep(open_pairs(live, percent))
+        candidates = scratch.keep(_filtered(scratch.small(found), meta, percent))
+        links = verify(scratch.small(candidates), sets, percent)
+        edges = scratch.keep(edges.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        comps = scratch.keep(components(edges, scratch).withColumnRenamed("u", "rid"))
+    scratch.drop(sets, meta, rows, live)
+    return _least_ids(all_docs, comps, id_col, scratch)
+
+
+def _least_ids(all_docs: DataFrame, comps: DataFrame | None, id_col: str, scratch: Scratch) -> DataFrame:
+    """The result's columns of all documents; the rows of one class, and the classes of one component, are dealt over PARTS parts."""
+    dealt = all_docs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    some = dealt.where("rid is not null").groupBy("rid", "part").agg(F.min("id").alias("low"))
+    classes = some.groupBy("rid").agg(F.min("low").alias("low"))
+    if comps is not None:
+        merged = classes.join(scratch.small(comps), "rid")
+        merged = scratch.keep(merged.withColumn("at", F.pmod(F.xxhash64("rid"), F.lit(PARTS)).cast("int")))
+        lowest = merged.groupBy("root").agg(F.min("low").alias("all_low")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        merged = scratch.keep(merged.join(lowest, ["root", "at"]).select("rid", "all_low"))
+        classes = classes.join(scratch.small(merged), "rid", "left").select("rid", F.coalesce("all_low", "low").alias("low"))
+    found = some.select("rid", "part").join(classes, "rid").select("rid", "part", F.col("low").alias("component_id"))
+    out = dealt.join(found, ["rid", "part"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("rid").alias("class_id"), F.when(F.col("rid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

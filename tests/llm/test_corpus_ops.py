@@ -57,11 +57,12 @@ def groups(docs, k, percent):
     return sets, [find(i) for i in range(len(docs))]
 
 
-@pytest.mark.parametrize("seed,k,percent,most", [(1, 4, 85, None), (2, 5, 80, 0), (3, 2, 60, None)])
-def test_near_duplicates_equal_brute_force(spark, seed, k, percent, most, monkeypatch):
-    if most is not None:
-        monkeypatch.setattr(ngram_join, "MOST_PAIRS", most)
-        monkeypatch.setattr(ngram_join, "ROUNDS", 2)
+@pytest.mark.parametrize("seed,k,percent,block", [(1, 4, 85, None), (2, 5, 80, 2), (3, 2, 60, 4)])
+def test_near_duplicates_equal_brute_force(spark, seed, k, percent, block, monkeypatch):
+    if block is not None:
+        # Blocks of few classes leave links to later rounds and to the last join, whose large keys are dealt over parts.
+        monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
+        monkeypatch.setattr(ngram_join, "KEY_ROWS", 3)
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(docs)], "doc_id long, text string, n int")
     got = {r.doc_id: r for r in ngram_join.near_duplicates(df.repartition(5), k=k, percent=percent).collect()}
@@ -99,8 +100,8 @@ def test_map_slots_are_sparks_hash(spark):
     values = np.array([0, 1, -1, 2**63 - 1, -(2**63), 123456789], np.int64)
     from pyspark.sql import functions as F
 
-    got = [r.k for r in spark.createDataFrame([(int(v),) for v in values], "r long").select(F.shiftrightunsigned(F.xxhash64("r"), 64 - ngram_join.MAP_BITS).alias("k")).collect()]
-    assert got == ngram_join._xx_slots(values).tolist()
+    got = [r.k for r in spark.createDataFrame([(int(v),) for v in values], "r long").select(F.shiftrightunsigned(F.xxhash64("r"), 64 - 23).alias("k")).collect()]
+    assert got == ngram_join._xx_slots(values, 23).tolist()
 
 
 def test_line_dedup(spark):
