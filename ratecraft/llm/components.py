@@ -36,9 +36,12 @@ class Scratch:
         """A kept table with the hint to broadcast it, if it has few enough rows."""
         return F.broadcast(df) if df.count() <= SMALL else df
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, few: bool = False) -> DataFrame:
+        """The frame, written and read again; ``few`` for tables that are small beside the input: at most four files a core."""
         self.n += 1
         schema = df.schema
+        if few:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         path = f"{self.top}/{self.n}"
         df.write.parquet(path)
         # Shuffle files go when the driver's collector finds their plans unreachable.
@@ -111,7 +114,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         """Two sets of edges are the same when neither size nor sum of hashes differ."""
         return tuple(f.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    now = scratch.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), few=True)
     before = mark(now)
     if before[0] <= SMALL:
         return _joined(now.select("u", "v"))
@@ -120,11 +123,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # large star: larger neighbours of a vertex join the least of its neighbourhood
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = scratch.keep(large)
+        large = scratch.keep(large, few=True)
         # small star: smaller neighbours, and the vertex, join the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        small = scratch.keep(small)
+        small = scratch.keep(small, few=True)
         after = mark(small)
         scratch.drop(now, large)
         if before == after:

@@ -1,10 +1,13 @@
 """Cross-site line dedup by distinct-site spread, with DataFrame functions only.
 
 A HyperLogLog sketch of the sites of each line hash is built on every task and merged by
-aggregation.  Lines whose estimate is clearly on one side of the threshold are decided by
-it; those within the sketch's error get an exact count of distinct sites.  Of a
+aggregation, together with the line's first occurrence.  Lines whose estimate is clearly on one side of the threshold are
+decided by it; those within the sketch's error get an exact count of distinct sites.  Of a
 line found on enough sites the first occurrence (least document id, then place) stays and all
 others are removed.
+
+The lines found are written, so the rows of a very common line meet them in a broadcast join
+if they are few (they are counted), else in a join of two plain shuffles, whose large partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -12,25 +15,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import Scratch
+
 
 def _lines(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row for each line with something on it: the kept columns, place and key."""
+    """A row for each line with more on it than spaces: the kept columns, place and key."""
     line = docs.select(*keep, F.posexplode(F.split("_text", "\n")).alias("place", "line")).where(F.length(F.trim("line")) > 0)
     return line.select(*keep, "place", F.xxhash64("line").alias("h"), F.length("line").alias("len"))
 
 
-def spread_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = 10, lg_k: int = 11, sigmas: float = 4.0) -> DataFrame:
-    """(h, len) of the lines that occur on ``min_sites`` sites or more."""
-    own = docs.select(F.col(text_col).alias("_text"), F.col(site_col).cast("string").alias("site"))
-    lines = _lines(own, "site")
+def spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, lg_k: int = 11, sigmas: float = 4.0) -> DataFrame:
+    """(h, len, first) of the lines that occur on ``min_sites`` sites or more; first is (id, place, k) of the first occurrence, k a hash of id and text."""
+    scratch = Scratch(docs.sparkSession)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), F.col(site_col).cast("string").alias("site"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"))
+    lines = _lines(own, "id", "site", "k")
     error = sigmas * 1.04 / 2 ** (lg_k / 2)
-    estimate = lines.where("site is not null").groupBy("h", "len").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    estimate = estimate.select("h", "len", F.hll_sketch_estimate("sketch").alias("about"))
     low, high = min_sites * (1 - error) - 0.5, min_sites * (1 + error) + 0.5
-    sure = estimate.where(F.col("about") > high).select("h", "len")
-    near = estimate.where((F.col("about") >= low) & (F.col("about") <= high)).select("h", "len")
-    exact = lines.where("site is not null").join(near, ["h", "len"], "left_semi").groupBy("h", "len", "site").agg(F.lit(1).alias("one")).groupBy("h", "len").agg(F.count("*").alias("sites"))
-    return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h", "len"))
+    estimate = lines.groupBy("h", "len").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("site").alias("n"), F.min(F.struct("id", "place", "k")).alias("first")).where(F.col("n") >= min_sites)
+    estimate = scratch.keep(estimate.select("h", "len", "first", F.hll_sketch_estimate("sketch").alias("about")).where(F.col("about") >= low), few=True)
+    near = estimate.where(F.col("about") <= high).select("h", "len")
+    exact = lines.where("site is not null").select("h", "len", "site").join(scratch.small(near), ["h", "len"], "left_semi").groupBy("h", "len", "site").agg(F.lit(1).alias("one")).groupBy("h", "len").agg(F.count("*").alias("sites"))
+    exact = exact.where(F.col("sites") >= min_sites).select("h", "len", F.lit(True).alias("enough"))
+    out = scratch.keep(estimate.join(exact, ["h", "len"], "left").where((F.col("about") > high) | F.col("enough")).select("h", "len", "first"), few=True)
+    scratch.drop(estimate)
+    return scratch.small(out)
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10) -> DataFrame:
@@ -38,15 +46,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Returns all columns of ``docs`` with ``text_col`` rewritten, and n_lines and n_removed (long), replacing
     columns of those names.  Rows with null site count for no site but lose their lines as others do.
-    Null texts stay null with 0 lines; blank lines are never removed; a text can become empty.  Rows equal in
+    Null texts stay null with 0 lines; lines that are empty or of spaces are never removed; a text can become empty.  Rows equal in
     id and text are treated as one occurrence; a null id comes before all others.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    spread = spread_lines(docs, text_col=text_col, site_col=site_col, min_sites=min_sites)
-    places = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), key.alias("k")), "id", "k").join(spread, ["h", "len"])
-    first = places.groupBy("h", "len").agg(F.min(F.struct("id", "place", "k")).alias("first"))
-    gone = places.join(first, ["h", "len"]).where(~(F.struct("id", "place", "k").eqNullSafe(F.col("first"))))
+    spread = spread_lines(docs, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites)
+    places = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), key.alias("k")), "id", "k")
+    gone = places.join(spread, ["h", "len"]).where(~(F.struct("id", "place", "k").eqNullSafe(F.col("first"))))
     k, g = (next(n for n in (f"{base}{i}" for i in range(len(names) + 1)) if n not in names) for base in ("_key", "_gone"))
     gone = gone.groupBy(F.col("k").alias(k)).agg(F.collect_set("place").alias(g))
     both = docs.select(*[F.col(f"`{c}`") for c in names], key.alias(k)).join(gone, k, "left")

@@ -242,16 +242,16 @@ def prefix_rows(reps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     tokens = reps.select("rid", "n", F.posexplode("prefix").alias("pos", "tok")).select("tok", "rid", (F.shiftleft(F.col("n").cast("long"), 32) + cap).alias("at"))
     n, cap = F.shiftright("at", 32), F.col("at") % (1 << 32)
     # Rows without a partner of a size that suits both are dropped by the least size and the largest cap of their token.
-    common = scratch.keep(tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min(n).alias("lo"), F.max(cap).alias("hi")).where("c > 1").drop("c"))
+    common = scratch.keep(tokens.groupBy("tok").agg(F.count("*").alias("c"), F.min(n).alias("lo"), F.max(cap).alias("hi")).where("c > 1").drop("c"), few=True)
     rows = tokens.join(scratch.small(common), "tok").where((cap >= F.col("lo")) & (n <= F.col("hi"))).select("tok", "rid", n.alias("n"), cap.alias("cap"))
     size_class = lambda c: F.floor(F.log(c.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
     own, last = size_class(F.col("n")), size_class(F.greatest("cap", "n"))
     rows = rows.select(F.col("tok"), "rid", "n", "cap", own.alias("b0"), F.explode(F.sequence(own, last)).alias("b"))
-    rows = scratch.keep(rows.select(F.xxhash64("tok", "b").alias("key"), "rid", F.col("n").cast("int").alias("n"), F.col("cap").cast("int").alias("cap"), (F.col("b") == F.col("b0")).alias("own")))
+    rows = scratch.keep(rows.select(F.xxhash64("tok", "b").alias("key"), "rid", F.col("n").cast("int").alias("n"), F.col("cap").cast("int").alias("cap"), (F.col("b") == F.col("b0")).alias("own")), few=True)
     lead = F.col("cap") >= F.col("n")
-    keys = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("c"), F.count_if("own").alias("p"), F.count_if(lead).alias("l")).where("p > 0 and l > 0 and c > 1"))
+    keys = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("c"), F.count_if("own").alias("p"), F.count_if(lead).alias("l")).where("p > 0 and l > 0 and c > 1"), few=True)
     some = (lead & (F.col("p") > F.col("own").cast("int"))) | (F.col("own") & (F.col("l") > lead.cast("int")))
-    out = scratch.keep(rows.join(scratch.small(keys), "key").where(some).select("key", "rid", "n", "cap", "own", "c"))
+    out = scratch.keep(rows.join(scratch.small(keys), "key").where(some).select("key", "rid", "n", "cap", "own", "c"), few=True)
     scratch.drop(common, rows, keys)
     return out
 
@@ -262,11 +262,11 @@ def _open(rows: DataFrame, comps: DataFrame | None, scratch: Scratch) -> tuple[D
         grouped = rows.withColumn("comp", F.col("rid"))
     else:
         grouped = rows.join(scratch.small(comps), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-    grouped = scratch.keep(grouped)
+    grouped = scratch.keep(grouped, few=True)
     of = grouped.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("most")).where("most.c < c")
-    of = scratch.keep(of.select("key", F.col("c").alias("all"), F.col("most.comp").alias("main"), F.col("most.c").alias("held")))
+    of = scratch.keep(of.select("key", F.col("c").alias("all"), F.col("most.comp").alias("main"), F.col("most.c").alias("held")), few=True)
     pairs = of.agg(F.sum((F.col("all") - F.col("held")) * F.col("all").cast("double"))).first()[0] or 0.0
-    live = scratch.keep(grouped.join(scratch.small(of), "key").select("key", "rid", "n", "cap", "own", "comp", F.col("all").alias("c"), (F.col("comp") == F.col("main")).alias("main")))
+    live = scratch.keep(grouped.join(scratch.small(of), "key").select("key", "rid", "n", "cap", "own", "comp", F.col("all").alias("c"), (F.col("comp") == F.col("main")).alias("main")), few=True)
     scratch.drop(grouped, of)
     return live, pairs
 
@@ -301,10 +301,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark)
     signed = scratch.keep(signatures(docs, id_col, text_col, k, percent, frequencies(docs, text_col, k)))
     reps = scratch.keep(signed.where("rid is not null").groupBy("rid").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("prefix").alias("prefix")))
-    all_docs = scratch.keep(signed.select("id", "n", "rid"))
-    scratch.drop(signed)
     rows = prefix_rows(reps, percent, scratch)
-    meta = scratch.keep(reps.join(scratch.small(scratch.keep(rows.select("rid").distinct())), "rid", "left_semi").select("rid", "n", "pivots"))
+    meta = scratch.keep(reps.join(scratch.small(scratch.keep(rows.select("rid").distinct(), few=True)), "rid", "left_semi").select("rid", "n", "pivots"), few=True)
     scratch.drop(reps)
     sets = sets_of(meta.select("rid"), docs, text_col, k, scratch)
     # A block holds sets of about one size; how many depends on that size too.
@@ -317,22 +315,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rank = F.struct("c", "key", "n") if not turn else F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "c", "n")
         homes = live.groupBy("rid").agg(F.max(rank).alias("x")).select("rid", "x.key", "x.c", "x.n")
         homes = homes.select("rid", "key", F.pmod(F.xxhash64("rid", F.lit(turn)), F.greatest(F.lit(1), F.ceil(F.col("c") / held))).cast("int").alias("block"))
-        found = scratch.keep(_merged(scratch.small(scratch.keep(homes)), sets, percent))
-        edges = found if edges is None else scratch.keep(edges.unionByName(found))
-        comps = scratch.keep(components(edges, scratch).withColumnRenamed("u", "rid"))
+        found = scratch.keep(_merged(scratch.small(scratch.keep(homes, few=True)), sets, percent), few=True)
+        edges = found if edges is None else scratch.keep(edges.unionByName(found), few=True)
+        comps = scratch.keep(components(edges, scratch).withColumnRenamed("u", "rid"), few=True)
         before, turn = pairs, turn + 1
         scratch.drop(live)
         live, pairs = _open(rows, comps, scratch)
         if 2 * pairs > before:
             break
     if pairs:
-        found = scratch.keep(open_pairs(live, percent))
-        candidates = scratch.keep(_filtered(scratch.small(found), meta, percent))
+        found = scratch.keep(open_pairs(live, percent), few=True)
+        candidates = scratch.keep(_filtered(scratch.small(found), meta, percent), few=True)
         links = verify(scratch.small(candidates), sets, percent)
-        edges = scratch.keep(edges.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        comps = scratch.keep(components(edges, scratch).withColumnRenamed("u", "rid"))
+        edges = scratch.keep(edges.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), few=True)
+        comps = scratch.keep(components(edges, scratch).withColumnRenamed("u", "rid"), few=True)
     scratch.drop(sets, meta, rows, live)
-    return _least_ids(all_docs, comps, id_col, scratch)
+    return _least_ids(signed.select("id", "n", "rid"), comps, id_col, scratch)
 
 
 def _least_ids(all_docs: DataFrame, comps: DataFrame | None, id_col: str, scratch: Scratch) -> DataFrame:
@@ -342,9 +340,9 @@ def _least_ids(all_docs: DataFrame, comps: DataFrame | None, id_col: str, scratc
     classes = some.groupBy("rid").agg(F.min("low").alias("low"))
     if comps is not None:
         merged = classes.join(scratch.small(comps), "rid")
-        merged = scratch.keep(merged.withColumn("at", F.pmod(F.xxhash64("rid"), F.lit(PARTS)).cast("int")))
+        merged = scratch.keep(merged.withColumn("at", F.pmod(F.xxhash64("rid"), F.lit(PARTS)).cast("int")), few=True)
         lowest = merged.groupBy("root").agg(F.min("low").alias("all_low")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        merged = scratch.keep(merged.join(lowest, ["root", "at"]).select("rid", "all_low"))
+        merged = scratch.keep(merged.join(lowest, ["root", "at"]).select("rid", "all_low"), few=True)
         classes = classes.join(scratch.small(merged), "rid", "left").select("rid", F.coalesce("all_low", "low").alias("low"))
     found = some.select("rid", "part").join(classes, "rid").select("rid", "part", F.col("low").alias("component_id"))
     out = dealt.join(found, ["rid", "part"], "left")

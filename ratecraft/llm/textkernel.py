@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Target bytes of a chunk. Temporaries take about 50 bytes for each.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _MASK = (1 << 64) - 1
 
