@@ -407,7 +407,7 @@ def score_rate_and_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH x AS (SELECT o_orderkey, unnest(['intercept', 'o_totalprice', 'o_orderpriority']) AS term, unnest([0::BIGINT, ({_BAND_ROW})::BIGINT, ({_PRIO_ROW})::BIGINT]) AS table_row,
-unnest([-1.1::DOUBLE, ({_BAND_F})::DOUBLE, ({_PRIO_F})::DOUBLE]) AS coefficient FROM orders WHERE o_orderkey % 10 = 0)
+unnest([-1.1::DOUBLE, ({_BAND_F})::DOUBLE, ({_PRIO_F})::DOUBLE]) AS coefficient FROM orders)
 SELECT o_orderkey, term, table_row, coefficient, round(exp(coefficient), 10) AS multiplier FROM x""")
 def explain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tariff()

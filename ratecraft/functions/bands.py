@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of no more distinct values than this are counted on the driver.
-FEW = 50_000
+#: Slices that a pass divides a range of values into.
+SLICES = 4096
 
 
 def explicit_edges(breaks: list[float]) -> list[float]:
@@ -22,55 +22,88 @@ def nearest_ranks(n_bands: int, n_rows: int) -> list[int]:
     return [max(1, math.ceil(i / n_bands * n_rows)) for i in range(1, n_bands)]
 
 
+def _finite(column: str):
+    """The column as a double, null where it is not finite."""
+    x = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != math.inf), x)
+
+
 def quantiles_at(df: DataFrame, wanted: dict[str, list[float]], by_rank) -> dict[str, list[float]]:
-    """Values of columns at ranks, exactly, by one aggregation a column and a running count of distinct values.
+    """Values of columns at ranks, exactly; all columns share each pass.
 
     ``by_rank`` maps (number of rows, entry of wanted) to a 1-based rank.  Null, NaN and infinite values
-    don't count.  Distinct values are summed where they are; only their range-partitioned counts are ordered.
+    don't count.  A first pass has counts and ranges.  Each further one counts, between the least and the largest
+    value that a rank can have, the rows of SLICES slices of that range, with the least and largest value in each; the rank's slice
+    is the next range, until it holds one value.  So every pass is an aggregation to a bounded number of rows.
     """
-    out: dict[str, list[float]] = {}
-    for column, entries in wanted.items():
-        x = F.col(column).cast("double")
-        good = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != math.inf)).groupBy(x.alias("x")).agg(F.count("*").alias("c"))
-        few = good.limit(FEW + 1).collect()
-        if len(few) <= FEW:
-            few.sort(key=lambda r: r.x)
-            upto = np.cumsum([r.c for r in few]) if few else np.zeros(0)
-            out[column] = [few[int(np.searchsorted(upto, min(int(upto[-1]), by_rank(int(upto[-1]), e))))].x for e in entries] if few else []
-            continue
-        ordered = good.repartitionByRange("x").sortWithinPartitions("x").select("x", "c", F.spark_partition_id().alias("p")).persist()
-        sums = sorted((r.p, r.s) for r in ordered.groupBy("p").agg(F.sum("c").alias("s")).collect())
-        total, before = 0, {}
-        for p, s in sums:
-            before[p], total = total, total + s
-        ranks = sorted({min(total, by_rank(total, e)) for e in entries}) if total else []
-        found: dict[int, float] = {}
-        for p, s in sums:
-            here = [r for r in ranks if before[p] < r <= before[p] + s]
-            if not here:
-                continue
-            run = F.sum("c").over(Window.partitionBy("p").orderBy("x"))
-            part = ordered.where(F.col("p") == p).withColumn("r", run + before[p])
-            cond = None
-            for r in here:
-                hit = (F.col("r") >= r) & (F.col("r") - F.col("c") < r)
-                cond = hit if cond is None else cond | hit
-            for row in part.where(cond).collect():
-                for r in here:
-                    if row.r - row.c < r <= row.r:
-                        found[r] = row.x
-        ordered.unpersist()
-        out[column] = [found[min(total, by_rank(total, e))] for e in entries] if total else []
+    columns = list(wanted)
+    if not columns:
+        return {}
+    r = df.agg(*[f(_finite(c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    found: dict[tuple[int, int], float] = {}
+    #: (column, lo, hi) of a range to the rows before it and the ranks sought in it.
+    open_: dict[tuple[int, float, float], tuple[int, list[int]]] = {}
+    ranks = {}
+    for i, c in enumerate(columns):
+        n = r[f"n{i}"]
+        ranks[c] = [min(n, by_rank(n, e)) for e in wanted[c]] if n else []
+        if ranks[c]:
+            open_[i, r[f"lo{i}"], r[f"hi{i}"]] = (0, sorted(set(ranks[c])))
+    while open_:
+        for (i, lo, hi), (_, own) in list(open_.items()):
+            if lo == hi:
+                found |= {(i, k): lo for k in own}
+                del open_[i, lo, hi]
+        if not open_:
+            break
+        asked = list(open_)
+        per_column = []
+        for i in sorted({i for i, _, _ in asked}):
+            x, part = _finite(columns[i]), None
+            for k, (j, lo, hi) in enumerate(asked):
+                if j == i:
+                    # A slice's number never falls as the value rises; halves are taken where the difference isn't finite.
+                    share = (x - lo) / (hi - lo) if math.isfinite(hi - lo) else (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+                    at = F.least(F.lit(SLICES - 1), F.floor(share * SLICES)).cast("int")
+                    hit = F.struct(F.lit(k).alias("k"), at.alias("at"), x.alias("x"))
+                    part = F.when(x.between(lo, hi), hit) if part is None else part.when(x.between(lo, hi), hit)
+            per_column.append(part)
+        each = df.select(F.inline(F.filter(F.array(*per_column), lambda s: s.isNotNull())))
+        counted = sorted(each.groupBy("k", "at").agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect(), key=lambda s: (s.k, s["at"]))
+        new: dict[tuple[int, float, float], tuple[int, list[int]]] = {}
+        upto = {k: open_[a][0] for k, a in enumerate(asked)}
+        for s in counted:
+            before, upto[s.k] = upto[s.k], upto[s.k] + s.c
+            here = [q for q in open_[asked[s.k]][1] if before < q <= upto[s.k]]
+            if here:
+                new[asked[s.k][0], s.lo, s.hi] = (before, here)
+        open_ = new
+    return {c: [found[i, q] for q in ranks[c]] for i, c in enumerate(columns)}
+
+
+def quantile_edges_of(df: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, int], list[float]]:
+    """Nearest-rank quantile bands of columns for each number of bands, over finite values, rows of no weight included."""
+    for c, counts in wanted.items():
+        if min(counts) < 1:
+            raise ValueError(f"quantile bands of {c} need a count of one at least")
+    entries = {c: [(n, i) for n in counts for i in range(1, n + 1)] for c, counts in wanted.items()}
+    got = quantiles_at(df, entries, lambda total, e: max(1, math.ceil(e[1] / e[0] * total)))
+    out = {}
+    for c, counts in wanted.items():
+        if not got[c]:
+            raise ValueError(f"column {c} has no finite values")
+        at = dict(zip(entries[c], got[c]))
+        out |= {(c, n): explicit_edges([at[n, i] for i in range(1, n)]) for n in counts}
     return out
 
 
 def quantile_edges(df: DataFrame, column: str, n: int) -> list[float]:
-    """Nearest-rank quantile bands over finite values, rows of no weight included."""
-    got = quantiles_at(df, {column: list(range(1, n))}, lambda total, i: max(1, math.ceil(i / n * total)))[column]
-    return explicit_edges(got)
+    return quantile_edges_of(df, {column: [n]})[column, n]
 
 
 def equal_width_edges(df: DataFrame, column: str, n: int) -> list[float]:
+    if n < 1:
+        raise ValueError(f"bands of equal width of {column} need a count of one at least")
     lo, hi = finite_range(df, column)
     return explicit_edges([lo + (hi - lo) * i / n for i in range(1, n)])
 
@@ -85,15 +118,17 @@ def finite_range(df: DataFrame, column: str) -> tuple[float, float]:
 
 def knots(df: DataFrame, column: str, *, explicit: list[float] | None = None, quantile: int | None = None, equal_width: int | None = None) -> list[float]:
     """Knots of a spline; statistics are over the rows given, which should have positive weight."""
+    n = equal_width if equal_width is not None else quantile if quantile is not None else 5
+    if explicit is None and n < 2:
+        raise ValueError(f"a spline over {column} needs two distinct knots at least")
     if explicit is not None:
         out = [float(k) for k in explicit]
         if any(b <= a for a, b in zip(out, out[1:])):
             raise ValueError("knots must ascend")
     elif equal_width is not None:
         lo, hi = finite_range(df, column)
-        out = sorted({lo + (hi - lo) * i / (equal_width - 1) for i in range(equal_width)})
+        out = sorted({lo + (hi - lo) * i / (n - 1) for i in range(n)})
     else:
-        n = quantile or 5
         got = quantiles_at(df, {column: list(range(n))}, lambda total, i: max(1, math.ceil(i / (n - 1) * total)))[column]
         out = sorted(set(got))
     if len(out) < 2:

@@ -16,6 +16,8 @@ from ..plans.tables import UNSEEN, Model, Table
 from .binding import bind
 
 WIDE_TABLE, MANY_LEVELS, THIN_SHARE, NEAR_ALIAS, POOR = 5000, 50, 0.001, 0.999, 10.0
+#: Cells that a review takes to the driver.
+FEW_CELLS = 500_000
 
 
 @dataclass
@@ -69,30 +71,56 @@ def canonical(counts: np.ndarray) -> float:
     return float(min(1.0, np.linalg.svd(s, compute_uv=False)[0]))
 
 
-def correlations(bound: DataFrame, model: Model, weight) -> tuple[list[tuple[str, str, float]], float | None]:
+def correlations(bound: DataFrame, model: Model, weight, cells: pd.DataFrame | None = None) -> tuple[list[tuple[str, str, float]], float | None]:
     """First canonical correlation of each pair of tables, worst first, and the top eigenvalue of their matrix.
 
-    One aggregation by cells of all tables gives every pair, exactly.
+    One aggregation by cells of all tables gives every pair, exactly; ``cells`` has it where it was made already.
     """
     at = [i for i, t in enumerate(model.tables) if t.axes and not t.fixed]
     if len(at) < 2:
         return [], None
-    cells = bound.where(" and ".join(f"_row{i} is not null" for i in at)).groupBy(*[f"_row{i}" for i in at]).agg(F.sum(weight).alias("w"))
-    few = cells.limit(500_001).toPandas()
+    if cells is None:
+        cells = bound.groupBy(*[f"_row{i}" for i in at]).agg(F.sum(weight).alias("w")).limit(FEW_CELLS + 1).toPandas()
+    few = cells.dropna(subset=[f"_row{i}" for i in at]).fillna({"w": 0.0}) if len(cells) <= FEW_CELLS else None
     pairs, matrix = [], np.eye(len(at))
     for a in range(len(at)):
         for b in range(a):
             n, m = model.tables[at[a]].n, model.tables[at[b]].n
-            if len(few) > 500_000:
+            if few is None:
                 counts = contingency(bound, at[a], at[b], n, m, weight)
             else:
-                counts = np.bincount(few[f"_row{at[a]}"] * m + few[f"_row{at[b]}"], few["w"], n * m).reshape(n, m)
+                counts = np.bincount((few[f"_row{at[a]}"] * m + few[f"_row{at[b]}"]).astype(int), few["w"], n * m).reshape(n, m)
             rho = canonical(counts)
             matrix[a, b] = matrix[b, a] = rho
             pairs.append((model.tables[at[b]].name, model.tables[at[a]].name, rho))
     return sorted(pairs, key=lambda p: -p[2]), float(np.linalg.eigvalsh(matrix)[-1])
 
 
+def _reviewed(bound: DataFrame, model: Model) -> tuple[list[int], float, list[np.ndarray], tuple]:
+    """Rows without a match and exposure by row, of each table, the whole exposure, and the tables' correlations.
+
+    One aggregation by cells has it all while the cells are few; beyond FEW_CELLS each table, and each pair, is summed by itself.
+    """
+    n = len(model.tables)
+    rows = [f"_row{i}" for i in range(n)]
+    cells = bound.groupBy(*rows).agg(F.sum("_w").alias("w"), F.count("*").alias("n")).limit(FEW_CELLS + 1).toPandas()
+    if len(cells) <= FEW_CELLS:
+        lost = [int(cells["n"][cells[r].isna()].sum()) for r in rows]
+        sums = [np.bincount(cells[r].dropna().astype(int), cells["w"][cells[r].notna()].fillna(0.0), t.n) for r, t in zip(rows, model.tables)]
+        return lost, float(cells["w"].sum()), sums, correlations(bound, model, F.col("_w"), cells)
+    del cells
+    kept = bound.persist()
+    try:
+        got = kept.agg(*[F.count(F.when(F.col(r).isNull(), 1)).alias(f"u{i}") for i, r in enumerate(rows)], F.sum("_w").alias("w")).first()
+        sums = []
+        for r, t in zip(rows, model.tables):
+            held = {x[0]: x[1] or 0.0 for x in kept.where(F.col(r).isNotNull()).groupBy(r).agg(F.sum("_w")).collect()}
+            sums.append(np.array([held.get(k, 0.0) for k in range(t.n)]))
+        return [got[f"u{i}"] for i in range(n)], got.w or 0.0, sums, correlations(kept, model, F.col("_w"))
+    finally:
+        kept.unpersist()
+
+
 def check_plan(plan: Plan, df: DataFrame, target: str) -> PlanCheck:
     """Everything that can be said before a fit: one wide aggregation of columns, then one pass over bound rows."""
     out = PlanCheck()
@@ -170,25 +198,20 @@ def check_plan(plan: Plan, df: DataFrame, target: str) -> PlanCheck:
         if t.knots is not None:
             say("Low", "spline_support", f"{t.name} rests on {t.n} knots from {t.knots[0]:g} to {t.knots[-1]:g}")
     w = F.col(f"`{plan.exposure}`").cast("double") if plan.exposure else F.lit(1.0)
-    bound = bind(df, model).select(*[f"_row{i}" for i in range(len(model.tables))], w.alias("_w")).persist()
-    try:
-        aggs = [F.count(F.when(F.col(f"_row{i}").isNull(), 1)).alias(f"u{i}") for i in range(len(model.tables))]
-        lost = bound.agg(*aggs, F.sum("_w").alias("w")).first()
-        for i, t in enumerate(model.tables):
-            if lost[f"u{i}"]:
-                say("High", "unmatched_observations", f"{lost[f'u{i}']} rows match no row of {t.name}")
-            if not t.axes:
-                continue
-            held = {x[0]: x[1] or 0.0 for x in bound.groupBy(f"_row{i}").agg(F.sum("_w")).collect() if x[0] is not None}
-            empty = sum(held.get(k, 0.0) <= 0 for k in range(t.n)) if t.knots is None else 0
-            thin = sum(0 < held.get(k, 0.0) < THIN_SHARE * (lost.w or 0.0) for k in range(t.n))
-            if empty:
-                say("Medium", "empty_levels", f"{empty} rows of {t.name} have no exposure")
-            if thin:
-                say("Low", "thin_levels", f"{thin} rows of {t.name} hold under {THIN_SHARE:.1%} of the exposure")
-        out.correlated_pairs, out.table_conditioning = correlations(bound, model, F.col("_w"))
-    finally:
-        bound.unpersist()
+    bound = bind(df, model).select(*[f"_row{i}" for i in range(len(model.tables))], w.alias("_w"))
+    lost, total, sums, (out.correlated_pairs, out.table_conditioning) = _reviewed(bound, model)
+    for i, t in enumerate(model.tables):
+        if lost[i]:
+            say("High", "unmatched_observations", f"{lost[i]} rows match no row of {t.name}")
+        if not t.axes:
+            continue
+        held = sums[i]
+        empty = int((held <= 0).sum()) if t.knots is None else 0
+        thin = int(((held > 0) & (held < THIN_SHARE * total)).sum())
+        if empty:
+            say("Medium", "empty_levels", f"{empty} rows of {t.name} have no exposure")
+        if thin:
+            say("Low", "thin_levels", f"{thin} rows of {t.name} hold under {THIN_SHARE:.1%} of the exposure")
     contrast = {t.name: {a.name for a in t.axes} for t in model.tables if t.kind == "interaction_contrast"}
     for a, b, rho in out.correlated_pairs:
         # A contrast knows its own main effects; its reference cells keep the two apart.

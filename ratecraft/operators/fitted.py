@@ -89,6 +89,9 @@ class FittedModel:
     def predict_count(self, df: DataFrame) -> DataFrame:
         return scoring.predict_count(df, self.model)
 
+    def predict_expected(self, df: DataFrame, exposure: str) -> DataFrame:
+        return scoring.predict_expected(df, self.model, exposure)
+
     def predict_one(self, values: dict) -> float:
         return scoring.predict_one(self.model, values)
 
@@ -134,6 +137,9 @@ class FittedModel:
     def coefficient_intervals(self, confidence: float = 0.95, dispersion: str = "model") -> pd.DataFrame:
         return inf_ops.coefficient_intervals(self.model, self.fit, self._inferred(), confidence, dispersion)
 
+    def variate_terms(self) -> pd.DataFrame:
+        return inf_ops.variate_terms(self.model, self.fit, self._inferred())
+
     def report(self, df: DataFrame | None = None, bins: int = 10):
         from .report import report
 
@@ -212,14 +218,19 @@ def table_labels(t: Table, model: Model) -> pd.DataFrame:
     return pd.DataFrame(out, index=range(t.n))
 
 
-def fit_model(model: Model, df: DataFrame, options: Options, *, plan: Plan | None = None, resolved: list[dict] | None = None) -> FittedModel:
-    """Binds once, collapses once, solves on cells, and passes over the rows again for inference."""
+def fit_model(model: Model, df: DataFrame, options: Options, *, plan: Plan | None = None, resolved: list[dict] | None = None, persist: bool = True) -> FittedModel:
+    """Binds, collapses once, solves on cells, and passes over the rows again for inference.
+
+    ``persist`` keeps the bound rows between the passes; a frame that is cached already is bound again instead.
+    """
     family = Family(model.family, options.tweedie_power or model.tweedie_power)
     model.tweedie_power = family.power
     options.check(model)
     bound = bind(df, model)
     keep = {f"_row{i}" for i in range(len(model.tables))} | {model.target, model.exposure, options.cluster} | {t.axes[0].name for t in model.tables if t.knots is not None}
-    bound = bound.select(*[F.col(f"`{c}`") for c in bound.columns if c in keep]).persist()
+    bound = bound.select(*[F.col(f"`{c}`") for c in bound.columns if c in keep])
+    if persist:
+        bound = bound.persist()
     try:
         cells = collapse(bound, model, family)
         fit = fit_cells(model, cells, family, options)
@@ -239,7 +250,8 @@ def fit_model(model: Model, df: DataFrame, options: Options, *, plan: Plan | Non
         else:
             inference = None
     finally:
-        bound.unpersist()
+        if persist:
+            bound.unpersist()
     return FittedModel(model, plan, resolved or [], fit, options, inference)
 
 
@@ -254,12 +266,27 @@ def fit_plan(plan: Plan, df: DataFrame, target: str, check: bool = True, **optio
     """Audits, builds and fits a plan; a High issue stops it."""
     from .audit import check_plan
 
-    built = None
-    if check:
-        audit = check_plan(plan, df, target)
-        if not audit.is_fittable:
-            raise ValueError("; ".join(f"{i.code}: {i.message}" for i in audit.issues if i.severity == "High"))
-        built = (audit.model, audit.resolved)
-    model, resolved = built or plan.build(df, target)
-    model.target = target
-    return fit_model(model, df, Options(**options), plan=plan, resolved=resolved)
+    own = needed(plan, df, target, options.get("cluster"))
+    kept = own is df and df.is_cached
+    if not kept:
+        # Levels, quantiles, audit, cells and inference all read this.
+        own = own.persist()
+    try:
+        built = None
+        if check:
+            audit = check_plan(plan, own, target)
+            if not audit.is_fittable:
+                raise ValueError("; ".join(f"{i.code}: {i.message}" for i in audit.issues if i.severity == "High"))
+            built = (audit.model, audit.resolved)
+        model, resolved = built or plan.build(own, target)
+        model.target = target
+        return fit_model(model, own, Options(**options), plan=plan, resolved=resolved, persist=False)
+    finally:
+        if not kept:
+            own.unpersist()
+
+
+def needed(plan: Plan, df: DataFrame, target: str, cluster: str | None = None) -> DataFrame:
+    """The columns of a frame that a plan, its target and its exposure name."""
+    names = {c for t in plan.terms for c in t.columns} | {a[0] for t in plan.terms if t.table for a in t.table["axes"]} | {target, plan.exposure, cluster, *plan.encodings}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in names])

@@ -36,6 +36,8 @@ class Inference:
     errors: list[np.ndarray]
     status: list[list[str]]
     aliased: np.ndarray
+    null_scale: np.ndarray
+    null_basis: np.ndarray
     notes: list[str] = field(default_factory=list)
 
 
@@ -64,6 +66,31 @@ def inverse_of(h: np.ndarray, aliased: np.ndarray) -> np.ndarray:
     return out
 
 
+def null_directions(h: np.ndarray, aliased: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scale, basis): orthonormal directions of the scaled parameters along which the information vanishes.
+
+    Each aliased parameter gives one: it moves by one and the others move so that no fitted value changes.
+    """
+    scale = np.sqrt(np.maximum(np.diag(h), 0))
+    scale = np.where(scale > 0, scale, 1.0)
+    lost, kept = np.flatnonzero(aliased), np.flatnonzero(~aliased)
+    if not len(lost):
+        return scale, np.zeros((len(h), 0))
+    a = h / scale[:, None] / scale
+    basis = np.zeros((len(h), len(lost)))
+    basis[lost, np.arange(len(lost))] = 1.0
+    if len(kept):
+        basis[kept] = -np.linalg.solve(a[np.ix_(kept, kept)], a[np.ix_(kept, lost)])
+    return scale, np.linalg.qr(basis)[0]
+
+
+def estimable(contrasts: np.ndarray, scale: np.ndarray, basis: np.ndarray, tolerance: float = 1e-6) -> np.ndarray:
+    """Whether each row, a linear function of the parameters, is the same along all null directions."""
+    u = contrasts / scale
+    size = np.linalg.norm(u, axis=1)
+    return np.linalg.norm(u @ basis, axis=1) <= tolerance * np.maximum(size, 1e-300)
+
+
 def row_scores(family: Family, y: Column, w: Column, mu: Column) -> Column:
     """Each row's score with respect to its linear predictor."""
     return w * (y - mu) if family.name in ("gaussian", "binomial", "poisson") else w * (y - mu) * F.pow(mu, 1 - family.p)
@@ -187,6 +214,7 @@ def infer(model: Model, fit: Fit, family: Family, scored: DataFrame, y: Column,
     for b in fit.blocks:
         penal[b.columns] = b.penalised
     aliased = aliased_columns(h)
+    null_scale, null_basis = null_directions(h, aliased)
     if l1 > 0:
         effective = float((~penal).sum() + (fit.beta[penal] != 0).sum())
     elif l2 > 0:
@@ -225,7 +253,9 @@ def infer(model: Model, fit: Fit, family: Family, scored: DataFrame, y: Column,
         m = b.map if tab.knots is None else np.vstack([np.zeros(b.map.shape[1]), np.eye(b.map.shape[1])])
         se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", m, cov[b.columns, b.columns], m), 0))
         held = fit.exposure[i] > 0
-        lost = (np.abs(m) @ aliased[b.columns].astype(float)) > 0
+        wide = np.zeros((len(m), p))
+        wide[:, b.columns] = m
+        lost = ~estimable(wide, null_scale, null_basis)
         reference = (np.abs(m).sum(1) == 0) & ~tab.locked
         status = ["locked" if tab.locked[r] else "reference" if reference[r] and tab.axes else "no_data" if not held[r] and tab.knots is None and not tab.degree else "aliased" if lost[r] else "estimated" for r in range(tab.n)]
         se = np.where([s in ("no_data", "aliased") for s in status], np.nan, se)
@@ -234,16 +264,16 @@ def infer(model: Model, fit: Fit, family: Family, scored: DataFrame, y: Column,
         out_err.append(se)
         out_status.append(status)
     if normalization == "weighted_mean" and not penalised and errors:
-        _mean_errors(model, fit, cov, out_err)
+        _mean_errors(model, fit, cov, null_scale, null_basis, out_err)
     ll = log_likelihood(scored, family, t, y, w, scale)
     k = effective
     return Inference(
         cov, covariance, scale, df, effective, n, ll, None if ll is None else -2 * ll + 2 * k, None if ll is None else -2 * ll + math.log(max(n, 1)) * k,
-        t["deviance"], null_deviance(scored, family, t, y, w, o, model.role == "offset"), t["pearson"], out_err, out_status, aliased, notes,
+        t["deviance"], null_deviance(scored, family, t, y, w, o, model.role == "offset"), t["pearson"], out_err, out_status, aliased, null_scale, null_basis, notes,
     )
 
 
-def _mean_errors(model: Model, fit: Fit, cov: np.ndarray, errors: list[np.ndarray]) -> None:
+def _mean_errors(model: Model, fit: Fit, cov: np.ndarray, null_scale: np.ndarray, null_basis: np.ndarray, errors: list[np.ndarray]) -> None:
     """Errors of contrasts with a table's exposure-weighted mean, and of the intercept that takes the means up."""
     lead = np.zeros(len(fit.beta))
     home = None
@@ -257,30 +287,52 @@ def _mean_errors(model: Model, fit: Fit, cov: np.ndarray, errors: list[np.ndarra
             mean = e @ b.map / max(e.sum(), 1e-300)
             lead[b.columns] += mean
             m = b.map - mean
-            errors[b.table] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", m, cov[b.columns, b.columns], m), 0))
+            wide = np.zeros((len(m), len(lead)))
+            wide[:, b.columns] = m
+            known = estimable(wide, null_scale, null_basis) & (e > 0)
+            errors[b.table] = np.where(known, np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", m, cov[b.columns, b.columns], m), 0)), np.nan)
     if home is not None:
-        errors[home.table] = np.array([math.sqrt(max(float(lead @ cov @ lead), 0))])
+        known = estimable(lead[None, :], null_scale, null_basis)[0]
+        errors[home.table] = np.array([math.sqrt(max(float(lead @ cov @ lead), 0)) if known else math.nan])
 
 
-def chi_square_tail(x: float, df: int) -> float:
-    """Upper tail of a chi-square with a whole number of degrees of freedom, summed in logarithms."""
-    if not x > 0 or df <= 0:
+def gamma_upper(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function: a power series below a + 1, Lentz's continued fraction above."""
+    if x <= 0:
         return 1.0
-    half = x / 2
-    if df % 2 == 0:
-        logs = [k * math.log(half) - math.lgamma(k + 1) for k in range(df // 2)]
-        head = 0.0
-    else:
-        logs = [(k + 0.5) * math.log(half) - math.lgamma(k + 1.5) for k in range(df // 2)]
-        head = math.erfc(math.sqrt(half))
-    if not logs:
-        return head
-    top = max(logs)
-    return min(1.0, head + math.exp(top - half) * math.fsum(math.exp(v - top) for v in logs))
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-17:
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1.0 - front * total)
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    out, i = d, 0
+    while True:
+        i += 1
+        numerator = -i * (i - a)
+        b += 2
+        d = 1 / (numerator * d + b or 1e-300)
+        c = b + numerator / c or 1e-300
+        out *= c * d
+        if abs(c * d - 1) < 1e-16 or i > 100_000:
+            return front * out
+
+
+def chi_square_tail(x: float, df: int) -> float:
+    """Upper tail of a chi-square; 1 where there is nothing to test."""
+    return gamma_upper(df / 2, x / 2) if x > 0 and df > 0 else 1.0
 
 
 def term_tests(model: Model, fit: Fit, inf: Inference, dispersion: str = "model") -> pd.DataFrame:
-    """Wald statistic of each term: (term, statistic, df, p_value, reason); the reason says why there is none."""
+    """Wald statistic of each term: (term, statistic, df, p_value, reason); the reason says why there is none.
+
+    A fit that did not converge, penalised and bounded terms, and terms of which a parameter can't be told from others have none.
+    """
     if dispersion not in ("model", "quasi_poisson"):
         raise ValueError("dispersion must be model or quasi_poisson")
     scale = 1.0
@@ -294,7 +346,8 @@ def term_tests(model: Model, fit: Fit, inf: Inference, dispersion: str = "model"
         if not t.axes:
             continue
         v = inf.covariance[b.columns, b.columns] * scale
-        why = "penalised" if sum(fit.penalty) > 0 else "bounded" if b.bounded else "aliased" if inf.aliased[b.columns].any() else None
+        lost = np.linalg.norm(inf.null_basis[b.columns], axis=1) > 1e-8
+        why = "not converged" if not fit.converged else "penalised" if sum(fit.penalty) > 0 else "bounded" if b.bounded else "aliased" if lost.any() else None
         if why is None and (np.diag(v) <= 0).any():
             why = "no information"
         if why:
@@ -307,6 +360,28 @@ def term_tests(model: Model, fit: Fit, inf: Inference, dispersion: str = "model"
     return pd.DataFrame(out, columns=["term", "statistic", "df", "p_value", "reason"])
 
 
+def variate_terms(model: Model, fit: Fit, inf: Inference) -> pd.DataFrame:
+    """A row for each power of each variate: (term, power, coefficient, scaled_coefficient, standard_error, top_z).
+
+    ``coefficient`` is that of the raw values' power, ``scaled_coefficient`` that of values moved and scaled to [-1, 1], which the
+    error belongs to.  Only the top power's z, given in its row, does not depend on how the basis is centred.
+    """
+    out = []
+    for b in fit.blocks:
+        t = model.tables[b.table]
+        if not t.degree:
+            continue
+        lo, hi = float(t.values.min()), float(t.values.max())
+        own = fit.beta[b.columns]
+        raw = np.polynomial.polynomial.Polynomial([0.0, *own], domain=[lo, hi], window=[-1, 1]).convert(domain=[-1, 1], window=[-1, 1]).coef if hi > lo else np.r_[0.0, own]
+        known = (np.linalg.norm(inf.null_basis[b.columns], axis=1) <= 1e-8) & (sum(fit.penalty) == 0)
+        se = np.where(known, np.sqrt(np.maximum(np.diag(inf.covariance)[b.columns], 0)), math.nan)
+        for k in range(t.degree):
+            top = k == t.degree - 1 and math.isfinite(se[k]) and se[k] > 0
+            out.append((t.name, k + 1, float(raw[k + 1]) if len(raw) > k + 1 else 0.0, float(own[k]), float(se[k]), float(own[k] / se[k]) if top else math.nan))
+    return pd.DataFrame(out, columns=["term", "power", "coefficient", "scaled_coefficient", "standard_error", "top_z"])
+
+
 def normal_quantile(q: float) -> float:
     """Inverse of the normal distribution, by bisection on erfc."""
     lo, hi = -40.0, 40.0

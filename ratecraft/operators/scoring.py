@@ -81,6 +81,18 @@ def predict_count(df: DataFrame, model: Model) -> DataFrame:
     return out.withColumn("expected_count", F.col("rate") * F.col(f"`{model.exposure}`").cast("double")).drop("rate")
 
 
+def predict_expected(df: DataFrame, model: Model, exposure: str) -> DataFrame:
+    """``expected``: the rate times any column of exposures, which must not be null; for poisson models. Null where no rate can be had."""
+    if model.family != "poisson":
+        raise ValueError(f"expected counts are for poisson models, not {model.family}")
+    if dict(df.dtypes).get(exposure) not in ("float", "double"):
+        raise ValueError(f"the exposure {exposure} must be a float or double column")
+    out = score(df, model, offset=False)
+    e = F.col(f"`{exposure}`").cast("double")
+    e = F.when(e.isNull(), F.raise_error(F.lit(f"the exposure {exposure} is null in a row")).cast("double")).otherwise(e)
+    return out.withColumn("expected", F.col("predictions") * e).drop(*_internal(out), "status", "unmatched_tables", "predictions")
+
+
 def explain(df: DataFrame, model: Model, *, key: str) -> tuple[DataFrame, DataFrame]:
     """(summary, contributions): a row for each observation, and one for each observation and term.
 

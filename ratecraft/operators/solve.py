@@ -112,6 +112,11 @@ def polynomial(values: np.ndarray, degree: int) -> np.ndarray:
     return np.stack([z**k for k in range(1, degree + 1)], 1)
 
 
+def reference_row(has_data: np.ndarray) -> int:
+    """The first row that holds data; the first of all where none does."""
+    return int(np.argmax(has_data)) if len(has_data) else 0
+
+
 def design(t: Table, x: np.ndarray | None, has_data: np.ndarray) -> tuple[np.ndarray, bool]:
     """(map, whether parameters but the first are bounded below by 0)."""
     if not t.axes:
@@ -126,7 +131,7 @@ def design(t: Table, x: np.ndarray | None, has_data: np.ndarray) -> tuple[np.nda
         return steps if t.direction == "increasing" else -steps, True
     fixed = t.locked.copy()
     if not t.locked.any():
-        fixed[0] = True
+        fixed[reference_row(has_data)] = True
     return contrasts(t.n, fixed), False
 
 
@@ -332,6 +337,7 @@ def normalize(model: Model, fit: Fit, mode: str) -> None:
                 continue
             shift = float((fit.factors[i] * e).sum() / e.sum())
         else:
-            shift = 0.0 if t.knots is not None or t.degree else float(fit.factors[i][0])
+            base = reference_row(e > 0) if not t.direction else 0
+            shift = 0.0 if t.knots is not None or t.degree else float(fit.factors[i][base])
         fit.factors[i] = fit.factors[i] - shift
         fit.factors[home] = fit.factors[home] + shift

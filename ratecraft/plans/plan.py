@@ -205,22 +205,29 @@ def levels(plan: Plan, df: DataFrame) -> tuple[dict[str, list[str]], dict[str, l
     """Encodings of text columns, and (code, exposure) of every category's levels."""
     encodings, found = {c: list(v) for c, v in plan.encodings.items()}, {}
     types = dict(df.dtypes)
-    for c in category_columns(plan):
+    names, each = category_columns(plan), None
+    for i, c in enumerate(names):
         if c not in types:
             raise ValueError(f"column {c} is missing")
         kind = types[c]
         if kind not in (*INTEGER, "string"):
             raise ValueError(f"column {c} of type {kind} can't be a category; cast it to string or integer")
         v = F.col(f"`{c}`") if kind == "string" else F.col(f"`{c}`").cast("int")
-        rows = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.sum(weight_column(plan)).alias("w")).limit(MAX_LEVELS + 1).collect()
-        if len(rows) > MAX_LEVELS:
+        own = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.sum(weight_column(plan)).alias("w")).limit(MAX_LEVELS + 1).select(F.lit(i).alias("i"), F.col("v").cast("string").alias("v"), "w")
+        each = own if each is None else each.unionByName(own)
+    # One job has the levels of all columns.
+    rows: list[list] = [[] for _ in names]
+    for r in each.collect() if each is not None else ():
+        rows[r.i].append(r)
+    for c, got in zip(names, rows):
+        if len(got) > MAX_LEVELS:
             raise ValueError(f"column {c} has more than {MAX_LEVELS} levels")
-        if kind == "string":
-            encodings.setdefault(c, sorted({r.v for r in rows}, key=str.encode))
+        if types[c] == "string":
+            encodings.setdefault(c, sorted({r.v for r in got}, key=str.encode))
             code = {label: i for i, label in enumerate(encodings[c])}
-            found[c] = sorted((code[r.v], r.w or 0.0) for r in rows if r.v in code)
+            found[c] = sorted((code[r.v], r.w or 0.0) for r in got if r.v in code)
         else:
-            found[c] = sorted((r.v, r.w or 0.0) for r in rows)
+            found[c] = sorted((int(r.v), r.w or 0.0) for r in got)
     return encodings, found
 
 
@@ -250,9 +257,15 @@ def build(plan: Plan, df: DataFrame, target: str | None = None) -> tuple[Model,
         if sum(c in t.columns for t in plan.terms) > 1:
             raise ValueError(f"a monotone column, {c}, can't enter another term")
 
+    cut: dict[str, list[int]] = {}
+    for t in plan.terms:
+        if t.kind in ("banded", "monotone", "variate") and t.quantile is not None:
+            cut.setdefault(t.columns[0], []).append(t.quantile)
+    quantiles = bands.quantile_edges_of(df, cut)
+
     def edges(t: Term) -> list[float]:
         c = t.columns[0]
-        return bands.explicit_edges(list(t.breaks)) if t.breaks is not None else bands.quantile_edges(df, c, t.quantile) if t.quantile else bands.equal_width_edges(df, c, t.equal_width)
+        return bands.explicit_edges(list(t.breaks)) if t.breaks is not None else quantiles[c, t.quantile] if t.quantile is not None else bands.equal_width_edges(df, c, t.equal_width)
 
     for t in plan.terms:
         c = t.columns[0] if t.columns else ""
