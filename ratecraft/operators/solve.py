@@ -33,6 +33,8 @@ class Options:
     cluster: str | None = None
     tweedie_power: float | None = None
     verbose: bool = False
+    accelerate: bool = True
+    solve_aliased_pairs_jointly: bool = True
 
     def check(self, model: Model) -> None:
         free = [t for t in model.tables if not t.fixed]
@@ -117,8 +119,8 @@ def reference_row(has_data: np.ndarray) -> int:
     return int(np.argmax(has_data)) if len(has_data) else 0
 
 
-def design(t: Table, x: np.ndarray | None, has_data: np.ndarray) -> tuple[np.ndarray, bool]:
-    """(map, whether parameters but the first are bounded below by 0)."""
+def design(t: Table, x: np.ndarray | None, reference: int) -> tuple[np.ndarray, bool]:
+    """(map, whether parameters but the first are bounded below by 0); step tables are contrasts with the reference row."""
     if not t.axes:
         return np.ones((1, 1)), False
     if t.knots is not None:
@@ -131,7 +133,7 @@ def design(t: Table, x: np.ndarray | None, has_data: np.ndarray) -> tuple[np.nda
         return steps if t.direction == "increasing" else -steps, True
     fixed = t.locked.copy()
     if not t.locked.any():
-        fixed[reference_row(has_data)] = True
+        fixed[reference] = True
     return contrasts(t.n, fixed), False
 
 
@@ -187,6 +189,139 @@ def solve_symmetric(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(a, g / scale, rcond=1e-11)[0] / scale
 
 
+def low_or_curved(model: Model) -> bool:
+    """Whether a model has terms that the name of the global solver doesn't stand for."""
+    return any(t.direction or t.knots is not None for t in model.tables if not t.fixed)
+
+
+#: Parameters that are solved for jointly; more go table by table.
+MOST_JOINT = 6000
+#: Canonical correlation from which two tables are solved together in a sweep.
+NEAR_PAIR = 0.9
+#: The step of a row without a response, whose best factor is minus infinity.
+EMPTY_STEP = -10.0
+
+
+@dataclass
+class Sweeps:
+    """The table solver: one table after the other, each at its optimum given the rest.
+
+    A step table under a log link without penalty takes its exact step, the logarithm of actual over expected by row.  Any other
+    block, and two nearly aliased tables together, take a damped Newton step.  Every third sweep is followed by a squared extrapolation,
+    kept only if the objective doesn't fall.
+    """
+
+    index: np.ndarray
+    sizes: np.ndarray
+    blocks: list[Block]
+    eta_of: object
+    parts: object
+    objective: object
+    family: Family
+    penal: np.ndarray
+    l1: float
+    l2: float
+    low: np.ndarray
+    exact: bool
+
+    def groups(self, weight: np.ndarray, jointly: bool) -> list[list[Block]]:
+        """Disjoint pairs of nearly aliased tables, then the other blocks; the intercept comes last."""
+        from .audit import canonical
+
+        own = [b for b in self.blocks if b.penalised or not (b.map.shape == (1, 1))]
+        rest = [b for b in self.blocks if b not in own]
+        pairs: list[list[Block]] = []
+        if jointly and not self.l1:
+            found = []
+            for k, b in enumerate(own):
+                for c in own[:k]:
+                    n, m = int(self.sizes[b.table]), int(self.sizes[c.table])
+                    if min(n, m) > 1:
+                        rho = canonical(np.bincount(self.index[:, b.table] * m + self.index[:, c.table], weight, n * m).reshape(n, m))
+                        if rho >= NEAR_PAIR:
+                            found.append((rho, [c, b] if c.map.shape[1] >= b.map.shape[1] else [b, c]))
+            used: set[int] = set()
+            for _, pair in sorted(found, key=lambda x: -x[0]):
+                if not used & {b.table for b in pair}:
+                    used |= {b.table for b in pair}
+                    pairs.append(pair)
+            own = [b for b in own if b.table not in used]
+        return [*pairs, *[[b] for b in own], *[[b] for b in rest]]
+
+    def plain(self, b: Block) -> bool:
+        """Whether the block's columns are rows of a step table, or the intercept."""
+        return self.family.link == "log" and self.exact and not b.bounded and bool(np.isin(b.map, (0.0, 1.0)).all()) and bool((b.map.sum(1) <= 1).all())
+
+    def step(self, group: list[Block], beta: np.ndarray, score: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """New parameters of one group; the others stay."""
+        out = beta.copy()
+        if len(group) == 1 and self.plain(group[0]):
+            b = group[0]
+            i, n = self.index[:, b.table], int(self.sizes[b.table])
+            down = np.bincount(i, weight, n) @ b.map
+            up = np.bincount(i, score, n) @ b.map + down
+            move = np.where(down > 0, np.where(up > 0, np.log(np.maximum(up, 1e-300) / np.maximum(down, 1e-300)), EMPTY_STEP), 0.0)
+            out[b.columns] += move
+            return np.clip(out, -ETA_LIMIT, ETA_LIMIT)
+        at = np.concatenate([np.arange(b.columns.start, b.columns.stop) for b in group])
+        local, first = [], 0
+        for b in group:
+            local.append(Block(b.table, b.map, first, b.penalised, b.bounded))
+            first += b.map.shape[1]
+        g = np.concatenate([b.map.T @ np.bincount(self.index[:, b.table], score, self.sizes[b.table]) for b in group]) - self.l2 * np.where(self.penal[at], beta[at], 0)
+        h = information(self.index, self.sizes, local, np.maximum(weight, 0)) + np.diag(np.where(self.penal[at], self.l2, 0.0))
+        h += np.diag(1e-9 * np.diag(h)) if len(group) > 1 else 0.0
+        d = _quadratic(h, g, beta[at], np.where(self.penal[at], self.l1, 0.0), self.low[at]) if self.l1 > 0 or np.isfinite(self.low[at]).any() else solve_symmetric(h, g)
+        now = self.objective(beta, self.parts(self.eta_of(beta))[2])
+        size = 1.0
+        for _ in range(40):
+            out[at] = beta[at] + size * d
+            new = self.objective(out, self.parts(self.eta_of(out))[2])
+            if np.isfinite(new) and new >= now - 1e-13 * max(1.0, abs(now)):
+                return out
+            size /= 2
+        return beta
+
+    def sweep(self, beta: np.ndarray, groups: list[list[Block]]) -> np.ndarray:
+        for g in groups:
+            score, weight, _ = self.parts(self.eta_of(beta))
+            beta = self.step(g, beta, score, weight)
+        return beta
+
+    def run(self, beta: np.ndarray, gradient, size_of, options: Options) -> tuple[np.ndarray, int, bool, float]:
+        """(parameters, sweeps, converged, measure)."""
+        _, weight, _ = self.parts(self.eta_of(beta))
+        groups = self.groups(np.maximum(weight, 0), options.solve_aliased_pairs_jointly)
+        extrapolate = options.accelerate and not np.isfinite(self.low).any()
+        past: list[np.ndarray] = []
+        why, stalled = np.inf, 0
+        for it in range(1, options.max_iterations + 1):
+            last, beta = beta, self.sweep(beta, groups)
+            eta = self.eta_of(beta)
+            score, weight, value = self.parts(eta)
+            why = gradient(beta, score)[1] / size_of(eta, score, weight)
+            if why <= options.tolerance:
+                return beta, it, True, why
+            now = self.objective(beta, value)
+            stalled = stalled + 1 if float(np.abs(beta - last).max(initial=0)) <= 1e-15 else 0
+            if stalled >= 12:
+                break
+            past.append(beta)
+            if extrapolate and len(past) == 3:
+                r, v = past[1] - past[0], past[2] - 2 * past[1] + past[0]
+                if (length := float(np.linalg.norm(v))) > 0:
+                    reach = max(1.0, float(np.linalg.norm(r)) / length)
+                    for _ in range(6):
+                        trial = past[0] + 2 * reach * r + reach * reach * v
+                        new = self.objective(trial, self.parts(self.eta_of(trial))[2])
+                        if np.isfinite(new) and new >= now:
+                            beta = trial
+                            break
+                        reach = (reach + 1) / 2
+                past = []
+        return beta, it, False, why
+
+
 def fit_cells(model: Model, cells: Cells, family: Family, options: Options) -> Fit:
     """Fits the free tables of a model; fixed tables and locked rows keep their factors."""
     options.check(model)
@@ -196,12 +331,12 @@ def fit_cells(model: Model, cells: Cells, family: Family, options: Options) -> F
         xs[i], index[:, i] = np.unique(x, return_inverse=True)
         sizes[i] = len(xs[i])
     exposure = row_sums(cells.rows, np.array([t.n for t in model.tables]), cells.weight)
-    held = row_sums(index, sizes, cells.b)
     blocks, first = [], 0
     for i, t in enumerate(model.tables):
         if t.fixed or t.locked.all():
             continue
-        m, bounded = design(t, xs.get(i), held[i] > 0)
+        # A penalty is on contrasts with row 0, whatever it holds.
+        m, bounded = design(t, xs.get(i), 0 if options.alpha > 0 else reference_row(exposure[i] > 0))
         blocks.append(Block(i, m, first, bool(t.axes) and not t.degree and t.n > 1, bounded))
         first += m.shape[1]
     base = cells.offset.copy()
@@ -253,21 +388,35 @@ def fit_cells(model: Model, cells: Cells, family: Family, options: Options) -> F
         beta[intercept.first] = _null_start(family, a, bb, base)
     solver = options.solver
     if solver == "auto":
-        plain = all(not (t.degree or t.direction or t.knots is not None) and (not t.locked.any() or t.locked.all() or t.kind == "interaction_contrast") for t in model.tables)
-        solver = "global" if intercept is not None and plain and options.normalization == "base_level" and p <= 6000 else "table"
+        solver = "global" if p <= MOST_JOINT else "table"
     eta = eta_of(beta)
     score, weight, value = parts(eta)
     now, done, why, it = objective(beta, value), False, np.inf, 0
-    stalled = 0
-    for it in range(1, options.max_iterations + 1):
+
+    def gradient(beta: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, float]:
+        """The smooth part's gradient, and the largest free score."""
         g = np.concatenate([b.map.T @ np.bincount(index[:, b.table], score, sizes[b.table]) for b in blocks]) if blocks else np.zeros(0)
         smooth = g - l2 * np.where(penal, beta, 0)
         kkt = smooth.copy()
         kkt[penal] = np.where(beta[penal] != 0, smooth[penal] - l1 * np.sign(beta[penal]), np.sign(smooth[penal]) * np.maximum(np.abs(smooth[penal]) - l1, 0))
-        at_low = (beta <= low) & (smooth < 0)
-        kkt[at_low] = 0
-        scale = float(np.abs(score + weight).sum() if family.link == "log" else np.abs(a).sum())
-        why = float(np.abs(kkt).max(initial=0)) / max(scale, 1e-300)
+        kkt[(beta <= low) & (smooth < 0)] = 0
+        return smooth, float(np.abs(kkt).max(initial=0))
+
+    def size_of(eta: np.ndarray, score: np.ndarray, weight: np.ndarray) -> float:
+        """Sum over cells of the larger of |score| and |score at a response of 0|.
+
+        The same sum over rows is at least as large, so what has converged by this measure has by that of rows.
+        """
+        zero = weight if family.link == "log" else bb * np.abs(eta) if family.link == "identity" else bb / (1 + np.exp(-np.clip(eta, -ETA_LIMIT, ETA_LIMIT)))
+        return max(float(np.maximum(np.abs(score), np.abs(zero)).sum()), 1e-300)
+
+    if solver == "table":
+        problem = Sweeps(index, sizes, blocks, eta_of, parts, objective, family, penal, l1, l2, low, exact=l1 + l2 == 0)
+        beta, it, done, why = problem.run(beta, gradient, size_of, options)
+    stalled = 0
+    for it in range(1, options.max_iterations + 1) if solver != "table" else ():
+        smooth, most = gradient(beta, score)
+        why = most / size_of(eta, score, weight)
         if why <= options.tolerance:
             done = True
             break
@@ -306,7 +455,7 @@ def fit_cells(model: Model, cells: Cells, family: Family, options: Options) -> F
             factors.append(np.concatenate([[0.0], beta[own.columns]]))
         else:
             factors.append(np.where(t.locked, t.factors, 0.0) + own.map @ beta[own.columns])
-    fit = Fit(factors, blocks, beta, it, done, why, solver, index, sizes, eta, information(index, sizes, blocks, np.maximum(weight, 0)) if blocks else np.zeros((0, 0)), exposure, (l1, l2))
+    fit = Fit(factors, blocks, beta, it, done, why, solver if solver == "table" or options.solver != "auto" or not low_or_curved(model) else "joint", index, sizes, eta, information(index, sizes, blocks, np.maximum(weight, 0)) if blocks else np.zeros((0, 0)), exposure, (l1, l2))
     normalize(model, fit, options.normalization)
     return fit
 
@@ -337,7 +486,7 @@ def normalize(model: Model, fit: Fit, mode: str) -> None:
                 continue
             shift = float((fit.factors[i] * e).sum() / e.sum())
         else:
-            base = reference_row(e > 0) if not t.direction else 0
+            base = reference_row(e > 0) if not t.direction and not sum(fit.penalty) else 0
             shift = 0.0 if t.knots is not None or t.degree else float(fit.factors[i][base])
         fit.factors[i] = fit.factors[i] - shift
         fit.factors[home] = fit.factors[home] + shift
