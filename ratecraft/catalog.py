@@ -544,3 +544,6 @@ def workbook_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         FittedModel(tariff()).to_workbook().save_csv_dir(top)
         m = Workbook.load_csv_dir(top).to_model().model
     return scoring.predict(policies(spark, sf_dir), m).select("o_orderkey", F.round("predictions", 10).alias("predictions"))
+
+
+from . import closed_forms  # noqa: E402, F401  registers its queries here
