@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.families import Family
 from ..plans.tables import Model
 
-#: Cells that may come to the driver; beyond it a fit is refused rather than cut.
+#: Cells that may come to the driver; more stay on the executors, where partial sums are taken of them.
 MAX_CELLS = 2_000_000
 
 
@@ -44,8 +44,11 @@ def response(model: Model) -> tuple[Column, Column, Column]:
     return y, w, o
 
 
-def collapse(bound: DataFrame, model: Model, family: Family) -> Cells:
-    """Cells of a bound frame; raises where any row is unmatched or a number is unusable."""
+def collapse(bound: DataFrame, model: Model, family: Family) -> Cells | DataFrame:
+    """Cells of a bound frame; raises where any row is unmatched or a number is unusable.
+
+    More than MAX_CELLS are returned as a persisted frame, which the caller unpersists.
+    """
     y, w, o = response(model)
     n = len(model.tables)
     keys = [F.col(f"_row{i}").alias(f"r{i}") for i in range(n)]
@@ -71,19 +74,38 @@ def collapse(bound: DataFrame, model: Model, family: Family) -> Cells:
     )
     few = got.limit(MAX_CELLS + 1).toPandas()
     if len(few) > MAX_CELLS:
-        raise ValueError(f"the tables span more than {MAX_CELLS} cells of data; merge bands or levels")
+        del few
+        return _many(got.persist(), bound, model, family)
     few = few.sort_values([k for k in few.columns if k[0] in "rx"], kind="stable")
     check_data(few, model, family)
     rows = few[[f"r{i}" for i in range(n)]]
     if rows.isna().any().any():
-        lost = [model.tables[i].name for i in range(n) if rows[f"r{i}"].isna().any()]
-        count = int(bound.where(" or ".join(f"_row{i} is null" for i in range(n))).count())
-        raise ValueError(f"{count} rows match no row of: {', '.join(lost)}")
+        _unmatched(bound, [model.tables[i].name for i in range(n) if rows[f"r{i}"].isna().any()], n)
     x = {i: few[f"x{i}"].to_numpy(float) for i in splines}
     offset = few["o"].to_numpy(float) if "o" in few else np.zeros(len(few))
     return Cells(rows.to_numpy(np.int64), few["a"].to_numpy(float), few["b"].to_numpy(float), offset, x, few["w"].to_numpy(float), few["n"].to_numpy(np.int64))
 
 
+def _unmatched(bound: DataFrame, lost: list[str], n: int) -> None:
+    count = int(bound.where(" or ".join(f"_row{i} is null" for i in range(n))).count())
+    raise ValueError(f"{count} rows match no row of: {', '.join(lost)}")
+
+
+def _many(cells: DataFrame, bound: DataFrame, model: Model, family: Family) -> DataFrame:
+    """The checks of collapse() for cells that stay on the executors, in one pass over them."""
+    n = len(model.tables)
+    sums = [F.sum(c).alias(c) for c in ("c_all", "c_y", "c_e", "c_neg", "c_zero", "w")]
+    r = cells.agg(*sums, F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi"), *[F.count(F.when(F.col(f"r{i}").isNull(), 1)).alias(f"u{i}") for i in range(n)]).first()
+    try:
+        check_data(pd.DataFrame([{k: r[k] for k in ("c_all", "c_y", "c_e", "c_neg", "c_zero", "w", "c_lo", "c_hi")}]), model, family)
+        if any(r[f"u{i}"] for i in range(n)):
+            _unmatched(bound, [t.name for i, t in enumerate(model.tables) if r[f"u{i}"]], n)
+    except ValueError:
+        cells.unpersist()
+        raise
+    return cells.drop(*[c for c in cells.columns if c.startswith("c_")], "n")
+
+
 def check_data(cells: pd.DataFrame, model: Model, family: Family) -> None:
     """Raises on targets, exposures and weights that can't be fitted."""
     c = lambda name: int(cells[f"c_{name}"].sum())

@@ -19,6 +19,7 @@ from . import scoring, validation
 from .binding import bind, linear_predictor
 from .cells import collapse, response
 from .solve import Fit, Options, fit_cells
+from .wide import fit_wide
 
 
 @dataclass
@@ -233,7 +234,13 @@ def fit_model(model: Model, df: DataFrame, options: Options, *, plan: Plan | Non
         bound = bound.persist()
     try:
         cells = collapse(bound, model, family)
-        fit = fit_cells(model, cells, family, options)
+        if isinstance(cells, DataFrame):
+            try:
+                fit = fit_wide(model, cells, family, options)
+            finally:
+                cells.unpersist()
+        else:
+            fit = fit_cells(model, cells, family, options)
         for t, f in zip(model.tables, fit.factors):
             t.factors = np.asarray(f, float)
         y, w, o = response(model)

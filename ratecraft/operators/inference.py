@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.families import Family
 from ..plans.tables import Model
-from .solve import Fit
+from .solve import Fit, information
 
 
 @dataclass
@@ -164,6 +164,25 @@ def null_deviance(scored: DataFrame, family: Family, t: dict[str, float], y: Col
     return 2 * (t["whalf"] / ((1 - p) * (2 - p)) - m ** (1 - p) * wy / (1 - p) + m ** (2 - p) * total / (2 - p))
 
 
+def robust_meat(scored: DataFrame, fit: Fit, score: Column) -> np.ndarray:
+    """Sum over rows of the outer product of their scores, from partial sums of cells by partition."""
+    blocks, sizes, p = fit.blocks, fit.sizes, len(fit.beta)
+    cols = [f"_row{b.table}" for b in blocks]
+    sums = scored.groupBy(*cols).agg(F.sum(score * score).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meat = np.zeros((p, p))
+        for batch in batches:
+            if batch.num_rows:
+                index = np.zeros((batch.num_rows, len(sizes)), np.int64)
+                for k, b in enumerate(blocks):
+                    index[:, b.table] = batch.column(k).to_numpy(zero_copy_only=False)
+                meat += information(index, sizes, blocks, batch.column(len(blocks)).to_numpy(zero_copy_only=False).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([meat.tobytes()], pa.binary())], ["m"])
+
+    return sum((np.frombuffer(bytes(r.m)).reshape(p, p) for r in sums.mapInArrow(run, "m binary").toLocalIterator()), np.zeros((p, p)))
+
+
 def cluster_meat(scored: DataFrame, fit: Fit, cluster: str, score: Column) -> tuple[np.ndarray, int]:
     """Sum over clusters of the outer product of their scores, a partition of whole clusters at a time."""
     n_tables = len(fit.sizes)
@@ -229,12 +248,7 @@ def infer(model: Model, fit: Fit, family: Family, scored: DataFrame, y: Column,
     if covariance != "model" and errors:
         s = row_scores(family, y, w, mu)
         if covariance == "robust":
-            cols = [f"_row{i}" for i in range(len(model.tables))]
-            got = scored.groupBy(*cols).agg(F.sum(s * s).alias("m")).toPandas()
-            x = np.zeros((len(got), p))
-            for b in fit.blocks:
-                x[:, b.columns] = b.map[got[f"_row{b.table}"].to_numpy()]
-            meat = x.T @ (got["m"].to_numpy()[:, None] * x)
+            meat = robust_meat(scored, fit, s)
         else:
             meat, clusters = cluster_meat(scored.where(w > 0), fit, cluster, s)
             if clusters < 2:
