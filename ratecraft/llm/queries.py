@@ -46,7 +46,7 @@ PII_KEY = "public example key"
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, with_spans=False)
+    return pii.replace_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
