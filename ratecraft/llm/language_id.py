@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .chargrams import codepoints, grams, logistic
+from .chargrams import codepoints, grams
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -87,7 +87,7 @@ def histogram(points: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray
     return out / np.maximum(norm, 1e-9)[:, None], total[at[1:]] > total[at[:-1]]
 
 
-def learn(x: np.ndarray, names: list[str], bits: int, steps: int = 120) -> Model:
+def learn(x: np.ndarray, names: list[str], bits: int, steps: int = 120, rate: float = 0.3, l2: float = 1e-6) -> Model:
     """Trains a classifier for each bit on unit rows."""
     languages = sorted(set(names))
     k = len(languages)
@@ -96,46 +96,93 @@ def learn(x: np.ndarray, names: list[str], bits: int, steps: int = 120) -> Model
         return Model(languages, np.zeros((1 << bits, code.shape[1]), np.float32), np.zeros(code.shape[1]), code, np.ones(code.shape[1]), bits)
     of = np.array([languages.index(n) for n in names])
     share = 1 / np.bincount(of, minlength=k)[of]
-    rows, cols = np.nonzero(x)
-    values = x[rows, cols].astype(np.float64)
-    weights, bias, good = [], [], []
-    for bit in range(code.shape[1]):
-        y = (code[of, bit] > 0).astype(float)
-        w, b = logistic(rows, cols, values, y, share, 1 << bits, 1e-6, steps, 0.3)
-        right = ((x @ w + b > 0) == (y > 0)) @ share / share.sum()
-        weights.append(w)
-        bias.append(b)
-        good.append(max(1e-3, 2 * right - 1))
-    return Model(languages, np.array(weights, np.float32).T.copy(), np.array(bias), code, np.array(good) / sum(good), bits)
-
-
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = 12, sample_per_language: int = 400, max_languages: int = 200) -> Model:
-    """Trains on at most ``sample_per_language`` whole texts of each language, chosen by a hash of their id.
-
-    Rows with null text or language, and texts without letters, take no part.  Give only
-    rows that may be learnt from.  More than ``max_languages`` languages are an error.
+    y = (code[of] > 0).astype(np.float32)
+    share = (share / share.sum()).astype(np.float32)[:, None]
+    # All bits' classifiers take their steps together, by full-batch Adam.
+    w = np.zeros(((1 << bits) + 1, code.shape[1]), np.float32)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        z = x @ w[:-1] + w[-1]
+        gap = share * (1 / (1 + np.exp(-np.clip(z, -80, 80))) - y)
+        g = np.vstack([x.T @ gap + np.float32(l2) * w[:-1], gap.sum(0)])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= np.float32(rate) * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.999**step)) + np.float32(1e-8))
+    right = (((x @ w[:-1] + w[-1] > 0) == (y > 0)) * share).sum(0)
+    good = np.maximum(1e-3, 2 * right - 1).astype(float)
+    return Model(languages, w[:-1].copy(), w[-1].astype(float), code, good / good.sum(), bits)
+
+
+#: Steps of the scale that hashes of ids are counted on, for each halving of the range.
+STEPS = 8
+
+
+def _levels(n_levels: int = 64 * STEPS) -> list[int]:
+    """Bounds below which a hash of 63 bits lies at each level, falling by a fixed ratio."""
+    return [int(2**63 * 2 ** (-k / STEPS)) for k in range(n_levels)]
+
+
+def sample_bounds(known: DataFrame, id_col: str, lang_col: str, most: int) -> dict[str, int]:
+    """For each language the bound on a hash of ids that about ``most`` rows or a tenth more lie below, from one aggregation."""
+    h = F.shiftrightunsigned(F.xxhash64(id_col), 1)
+    level = F.least(F.lit(64 * STEPS - 1), F.floor(-F.log2((h + 1).cast("double") / 2.0**63) * STEPS)).cast("int")
+    counted: dict[str, dict[int, int]] = {}
+    for r in known.groupBy(F.col(lang_col).alias("lang"), level.alias("level")).count().toLocalIterator():
+        counted.setdefault(r.lang, {})[r.level] = r["count"]
+    out, bounds = {}, _levels()
+    for lang, by in counted.items():
+        # Levels from the smallest hashes on, until enough rows lie below.
+        n, at = 0, 0
+        for at in sorted(by, reverse=True):
+            n += by[at]
+            if n >= most:
+                break
+        # A level holds hashes of its bound's range; rounding may put one beside it, hence the margin.
+        out[lang] = min(2**63 - 1, bounds[at] + (bounds[at] >> 40) + 1) if n >= most else 2**63 - 1
+    return out
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bits: int = 12, sample_per_language: int = 400, sample_rows: int = 16_000) -> Model:
+    """Trains on at most ``sample_per_language`` whole texts of each language, those of the least hashes of their id.
+
+    With very many languages each has ``sample_rows`` divided by their number, but 4 at least.  Rows with null text or language, and
+    texts without letters, take no part.  Give only rows that may be learnt from.  Two passes: one counts hashes by language, one
+    makes the features of rows below each language's bound.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    languages = sorted(r[0] for r in known.select(lang_col).distinct().limit(max_languages + 1).collect())
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    small = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    ids = {x._id for name in languages for x in small.where(F.col("_lang") == name).orderBy(F.xxhash64("_id"), "_id").limit(sample_per_language).collect()}
+    bounds = sample_bounds(known, id_col, lang_col, sample_per_language)
+    if not bounds:
+        return learn(np.zeros((0, 1 << bits), np.float32), [], bits)
+    most = max(4, min(sample_per_language, sample_rows // len(bounds)))
+    if most < sample_per_language:
+        bounds = sample_bounds(known, id_col, lang_col, most)
+    spark = docs.sparkSession
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in K.chunks(batch.column(1), 1 << 18):
+            for chunk in K.chunks(batch.column(2), 1 << 18):
                 points, at = codepoints(chunk)
-                x, has = histogram(points, at, bits)
-                good = pa.array(np.flatnonzero(has))
-                f = pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n).take(good), f.take(good)], ["_lang", "f"])
-
-    if not ids:
-        return learn(np.zeros((0, 1 << bits), np.float32), [], bits)
-    got = known.where(F.col(id_col).isin(list(ids))).select(F.col(lang_col).alias("_lang"), F.col(text_col)).mapInArrow(rows, "_lang string, f binary").collect()
-    got.sort(key=lambda r: (r._lang, bytes(r.f)))
-    return learn(np.array([np.frombuffer(bytes(r.f), np.float16) for r in got], np.float32).reshape(len(got), 1 << bits), [r._lang for r in got], bits)
+                for a in range(0, chunk.n, 256):
+                    b = min(a + 256, chunk.n)
+                    x, has = histogram(points[at[a] : at[b]], at[a : b + 1] - at[a], bits)
+                    good = pa.array(np.flatnonzero(has))
+                    own = [np.flatnonzero(r) for r in x]
+                    places = pa.array([o.astype(np.uint16).tobytes() for o in own], pa.binary())
+                    values = pa.array([r[o].astype(np.float16).tobytes() for r, o in zip(x, own)], pa.binary())
+                    cut = [batch.column(i).slice(chunk.first + a, b - a).take(good) for i in range(2)]
+                    yield pa.RecordBatch.from_arrays([*cut, places.take(good), values.take(good)], ["_h", "_lang", "at", "f"])
+
+    # A row a language; counted above, so it is known to be small.
+    below = F.broadcast(spark.createDataFrame(list(bounds.items()), "_lang string, _below long"))
+    near = known.select(F.shiftrightunsigned(F.xxhash64(id_col), 1).alias("_h"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).join(below, "_lang").where("_h < _below")
+    got = sorted(((r._lang, r._h, bytes(r["at"]), bytes(r.f)) for r in near.select("_h", "_lang", "_text").mapInArrow(rows, "_h long, _lang string, at binary, f binary").toLocalIterator()))
+    x, names = np.zeros((len(got), 1 << bits), np.float32), []
+    taken: dict[str, int] = {}
+    for lang, _, at, f in got:
+        if taken.setdefault(lang, 0) < most:
+            x[len(names), np.frombuffer(at, np.uint16)] = np.frombuffer(f, np.float16)
+            names.append(lang)
+            taken[lang] += 1
+    return learn(x[: len(names)], names, bits)
 
 
 def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,8 +2,8 @@
 
 Every line gets discrete observation features (symbols, case, punctuation, repetition,
 separators, digits, word length).  A two-label chain, content or boilerplate, is trained by gradient
-ascent on the exact log-likelihood (forward-backward) over a bounded sample of labelled
-documents whose lines take the label of their document.  Viterbi decoding then
+ascent (forward-backward) over a bounded sample of labelled documents.  The labels of lines are hidden there; that of
+the document is evidence for each, which a line's looks can outweigh.  Viterbi decoding then
 marks the lines of every document, and a document is kept when its content lines hold
 enough of its words.
 """
@@ -176,8 +176,33 @@ def viterbi(crf: Crf, features: np.ndarray, first: np.ndarray) -> np.ndarray:
     return labels
 
 
-def train(sequences: list[np.ndarray], labels: list[int], steps: int = 120, rate: float = 0.15, l2: float = 1e-3) -> Crf:
-    """Maximises the penalised log-likelihood of constant-label sequences by Adam."""
+def _expected(crf: Crf, score: np.ndarray, sizes: np.ndarray, first: np.ndarray, live: list[int], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of all lines, and the weighted expectation of label pairs, of chains of falling length by forward-backward."""
+    alpha, beta = np.zeros((len(score), 2)), np.zeros((len(score), 2))
+    heads, n = first[:-1], int(sizes[0])
+    alpha[heads] = score[heads] + crf.start
+    for t in range(1, n):
+        at = heads[: live[t]] + t
+        alpha[at] = np.logaddexp.reduce(alpha[at - 1][:, :, None] + crf.transition, 1) + score[at]
+    for t in range(n - 2, -1, -1):
+        at = heads[: live[t + 1]] + t
+        beta[at] = np.logaddexp.reduce(crf.transition[None] + (score[at + 1] + beta[at + 1])[:, None, :], 2)
+    z = np.repeat(np.logaddexp.reduce(alpha[first[1:] - 1], 1), sizes)
+    marginal = np.exp(alpha + beta - z[:, None])
+    inner = np.ones(len(score), bool)
+    inner[heads] = False
+    inner = np.flatnonzero(inner)
+    pairs = np.exp(alpha[inner - 1][:, :, None] + crf.transition + (score[inner] + beta[inner])[:, None, :] - z[inner][:, None, None])
+    return marginal, (pairs * weight[inner][:, None, None]).sum(0)
+
+
+def train(sequences: list[np.ndarray], labels: list[int], steps: int = 80, rate: float = 0.15, l2: float = 1e-3, evidence: float = 2.0) -> Crf:
+    """Learns from texts whose lines have hidden labels, of which the text's label is evidence.
+
+    Maximises the penalised log of sum over line labels of their probability times exp(``evidence`` times the number of lines
+    whose label is the text's).  Its gradient is the difference of two expectations, with and without the evidence, so a line that looks
+    like the other class can take its label, and the chain learns from changes of label within texts.  Adam takes the steps.
+    """
     prior = _prior()
     if len(set(labels)) < 2:
         return prior
@@ -191,43 +216,33 @@ def train(sequences: list[np.ndarray], labels: list[int], steps: int = 120, rate
     line_y, line_w = np.repeat(y, sizes), np.repeat(weight, sizes)
     theta = np.concatenate([x.ravel() for x in prior])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    T = int(sizes[0])
-    live = [int(np.searchsorted(-sizes, -t, "left")) for t in range(T)]
+    live = [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]))]
+    lean = evidence * np.eye(2)[line_y]
+    heads = first[:-1]
     for step in range(1, steps + 1):
         crf = Crf(theta[: 2 * N_OBS].reshape(N_OBS, 2), theta[2 * N_OBS : -2].reshape(2, 2), theta[-2:])
         score = crf.observation[flat].sum(1)
-        alpha, beta = np.zeros((len(flat), 2)), np.zeros((len(flat), 2))
-        heads = first[:-1]
-        alpha[heads] = score[heads] + crf.start
-        for t in range(1, T):
-            at = heads[: live[t]] + t
-            alpha[at] = np.logaddexp.reduce(alpha[at - 1][:, :, None] + crf.transition, 1) + score[at]
-        for t in range(T - 2, -1, -1):
-            at = heads[: live[t + 1]] + t
-            beta[at] = np.logaddexp.reduce(crf.transition[None] + (score[at + 1] + beta[at + 1])[:, None, :], 2)
-        z = np.repeat(np.logaddexp.reduce(alpha[first[1:] - 1], 1), sizes)
-        marginal = np.exp(alpha + beta - z[:, None])
-        gap = (np.eye(2)[line_y] - marginal) * line_w[:, None]
+        free, free_pairs = _expected(crf, score, sizes, first, live, line_w)
+        held, held_pairs = _expected(crf, score + lean, sizes, first, live, line_w)
+        gap = (held - free) * line_w[:, None]
         g_obs = np.zeros((N_OBS, 2))
         for f in range(flat.shape[1]):
             for c in (0, 1):
                 g_obs[:, c] += np.bincount(flat[:, f], gap[:, c], N_OBS)
-        inner = np.setdiff1d(np.arange(len(flat)), heads, assume_unique=True)
-        both = np.exp(alpha[inner - 1][:, :, None] + crf.transition + (score[inner] + beta[inner])[:, None, :] - z[inner][:, None, None])
-        g_tr = np.zeros((2, 2))
-        for c in (0, 1):
-            g_tr[c, c] += line_w[inner][line_y[inner] == c].sum()
-        g_tr -= (both * line_w[inner][:, None, None]).sum(0)
-        g = np.concatenate([g_obs.ravel(), g_tr.ravel(), gap[heads].sum(0)]) - l2 * theta
+        g = np.concatenate([g_obs.ravel(), (held_pairs - free_pairs).ravel(), gap[heads].sum(0)]) - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Crf(theta[: 2 * N_OBS].reshape(N_OBS, 2), theta[2 * N_OBS : -2].reshape(2, 2), theta[-2:])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_class: int = 600, sample_lines: int = 200) -> Crf:
+#: Lines of a chain in training; a longer text is several chains, one after another.
+CHAIN_LINES = 512
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_per_class: int = 600) -> Crf:
     """Trains on at most ``sample_per_class`` labelled documents of each class, chosen by a hash of their id.
 
-    From one document at most ``sample_lines`` lines, spread evenly, enter the sample.  Rows with null
+    All their lines enter the sample, those of a long text in chains of CHAIN_LINES.  Rows with null
     ids, labels or texts take no part; with fewer than two classes the fixed prior weights are returned.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
@@ -244,13 +259,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 s = statistics(chunk)
                 out = []
                 for a, b in zip(s.line_first[:-1], s.line_first[1:]):
-                    pick = np.unique(np.linspace(a, b - 1, min(b - a, sample_lines)).astype(np.int64))
-                    out.append(s.features[pick].astype(np.uint8).tobytes())
+                    out.append(s.features[a:b].astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([who.slice(chunk.first, chunk.n), pa.array(out, pa.binary())], ["_id", "f"])
 
-    got = texts.mapInArrow(rows, f"_id {docs.schema[id_col].dataType.simpleString()}, f binary").collect()
-    got.sort(key=lambda r: (r._id, bytes(r.f)))
-    return train([np.frombuffer(bytes(r.f), np.uint8).reshape(-1, len(FEATURES)).astype(np.int64) for r in got], [int(label[r._id] == 0) for r in got])
+    got = sorted((r._id, bytes(r.f)) for r in texts.mapInArrow(rows, f"_id {docs.schema[id_col].dataType.simpleString()}, f binary").toLocalIterator())
+    chains, own = [], []
+    for i, raw in got:
+        lines = np.frombuffer(raw, np.uint8).reshape(-1, len(FEATURES))
+        for a in range(0, len(lines), CHAIN_LINES):
+            chains.append(lines[a : a + CHAIN_LINES].astype(np.int64))
+            own.append(int(label[i] == 0))
+    return train(chains, own)
 
 
 def quality(docs: DataFrame, crf: Crf, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_percent: int = 50, min_content: float = 0.5) -> DataFrame:

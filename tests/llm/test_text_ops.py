@@ -150,6 +150,23 @@ def test_quality_learns_junk_lines(spark):
     assert quality_rules.fit(docs, labels.limit(0)).start.shape == (2,)
 
 
+def test_mixed_texts_get_mixed_labels(spark):
+    """Trained on whole documents of one label, the chain still changes its label where a text does."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abdeiklmnoprstu") for _ in range(rng.randint(2, 8)))
+    prose = lambda: " ".join(word() for _ in range(14)).capitalize() + "."
+    junk = lambda: " ".join(rng.choice(["###", "$$$", "|||", "%%%"]) + word().upper() for _ in range(14))
+    rows = [(i, "\n".join((prose if i % 3 else junk)() for _ in range(rng.randint(3, 12)))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    crf = quality_rules.fit(docs, spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int"))
+    mixed = [(1000 + i, "\n".join([prose() for _ in range(n)] + [junk() for _ in range(12 - n)])) for i, n in enumerate((3, 6, 9))]
+    got = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame([*rows, *mixed], docs.schema), crf).collect()}
+    assert all(got[i].kept == (i % 3 > 0) for i, _ in rows if not got[i].base_failed)
+    for (i, _), share in zip(mixed, (0.25, 0.5, 0.75)):
+        # Within a line of the twelve: the chain may take the line at the change along.
+        assert abs(got[i].content_share - share) < 0.09
+
+
 SAMPLE = "mail ann.b12@mail3.example.com, +1 (658) 555-4270 or 42.144.35.254; card 4111 1111 1111 1111, 4337166598464399, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" Mr. Karl Meier 123-45-6789"
 
 
@@ -213,6 +230,51 @@ def test_language_codes_and_prediction(spark):
     assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_bits_equal_a_plain_version(spark):
+    """Features, margins and decoding as loops over one text; samples as a sort of all hashes."""
+    rng = random.Random(3)
+    words = {"aa": "kata pata lata ñu", "bb": "shun brom glof", "cc": "ioue aiue eoia"}
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(rng.randint(1, 30))), lang) for i, lang in enumerate([*words] * 40)]
+    docs = spark.createDataFrame([*rows, (500, None, "aa"), (501, "99", "bb"), (502, "kata", None)], "doc_id long, text string, lang string").repartition(4)
+    m = language_id.fit(docs, bits=8, sample_per_language=10)
+    from pyspark.sql import functions as F
+
+    from ratecraft.llm.chargrams import codepoints, grams
+
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h")).collect()}
+    sample = [(lang, t) for lang in sorted(words) for _, t in sorted((hashes[i], t) for i, t, own in rows if own == lang)[:10]]
+
+    def plain(t):
+        text = "".join(c if c.isalpha() else " " for c in t.lower())
+        text = re.sub(" +", " ", text)
+        counts = np.zeros(256)
+        for n in (1, 2, 3):
+            for j in range(len(text) - n + 1):
+                counts[int(grams(np.array([ord(c) for c in text[j : j + n]], np.uint32), n, 8)[0])] += 1
+        v = np.log1p(counts)
+        return v / np.linalg.norm(v)
+
+    x = np.array([plain(t) for _, t in sample])
+    code = m.code
+    for bit in range(code.shape[1]):
+        y = np.array([code[m.languages.index(lang), bit] > 0 for lang, _ in sample], float)
+        w, b, mo, ve = np.zeros(256), 0.0, np.zeros(257), np.zeros(257)
+        for step in range(1, 121):
+            gap = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(x)
+            g = np.append(x.T @ gap + 1e-6 * w, gap.sum())
+            mo, ve = 0.9 * mo + 0.1 * g, 0.999 * ve + 0.001 * g * g
+            move = 0.3 * (mo / (1 - 0.9**step)) / (np.sqrt(ve / (1 - 0.999**step)) + 1e-8)
+            w, b = w - move[:-1], b - move[-1]
+        np.testing.assert_allclose(x @ w + b, x @ m.weights[:, bit] + m.bias[bit], atol=0.15)
+    for r in language_id.identify(docs, m).collect():
+        t = next((t for i, t, _ in rows if i == r.doc_id), None)
+        if t is not None:
+            margin = plain(t) @ m.weights + m.bias
+            loss = [(np.log1p(np.exp(-margin * c)) * m.bit_weight).sum() for c in code]
+            share = np.exp(-4 * (np.array(loss) - min(loss)))
+            assert r.lang_pred == m.languages[int(np.argmin(loss))] and r.score == pytest.approx(share.max() / share.sum(), abs=1e-3)
+
+
 def test_language_batches_agree(spark):
     docs = [t or "" for t in texts(60, 9)]
     from ratecraft.llm.chargrams import codepoints
