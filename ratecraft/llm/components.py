@@ -37,11 +37,11 @@ class Scratch:
         return F.broadcast(df) if df.count() <= SMALL else df
 
     def keep(self, df: DataFrame, few: bool = False) -> DataFrame:
-        """The frame, written and read again; ``few`` for tables that are small beside the input: at most four files a core."""
+        """The frame, written and read again; ``few`` for tables that are small beside the input: a quarter of the shuffle partitions, or four files a core."""
         self.n += 1
         schema = df.schema
         if few:
-            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
+            df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
         path = f"{self.top}/{self.n}"
         df.write.parquet(path)
         # Shuffle files go when the driver's collector finds their plans unreachable.

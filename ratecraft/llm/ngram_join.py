@@ -7,7 +7,8 @@
    token and size class, the smaller partner under the next size class too, and a key without partners goes.
 4. Merging rounds: every class with rows left goes to one home key.  Classes of a key are dealt into blocks of
    bounded size by a hash of the round, all sets of a block are compared, and linked classes are merged.  A round's
-   work is linear in its classes.  Rounds go on while they at least halve the pairs that are still open.
+   work is linear in its classes.  Later rounds take the classes of keys that have more than REST_ROWS rows outside their
+   largest group, and so could give more pairs than a multiple of their rows; from the third on they must halve those pairs.
 5. A pair inside a merged group needs no further link.  All pairs left, of different groups, are
    joined on their prefix tokens, pass a suffix filter (sizes of both sets between fixed pivots of the hash space bound
    their difference), and each is verified once on whole sets.  So no link between groups is missed.
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .components import Scratch, bit_map, bits_at, components
 
-#: log2 of the counters of the frequency sketch, and the blocks that it is summed in.
-SKETCH_BITS, BLOCKS = 21, 32
+#: log2 of the counters of the frequency sketch: 64 a document, at least and at most so many; and the blocks that it is summed in.
+LEAST_SKETCH_BITS, MOST_SKETCH_BITS, BLOCKS = 16, 23, 32
 #: log2 of the bits of the map that tells which sets are asked for: it grows with their number, up to 16 MB.
 LEAST_MAP_BITS, MOST_MAP_BITS = 20, 27
 #: Classes, and items of their sets, that one block of a merging round compares with one another.
 BLOCK_CLASSES, BLOCK_ITEMS = 128, 2_000_000
+#: Rows outside a key's largest group that the last join takes as they are.
+REST_ROWS = 16
 #: Rows of one key that a task of the last join takes; a larger key is dealt over several.
 KEY_ROWS = 5_000
 #: Parts that the rows of one class or component are dealt over in the last joins.
@@ -65,36 +68,43 @@ def _bucket(u: np.ndarray, bits: int) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """Document frequencies of shingles by hash bucket, over all documents, on a logarithmic 16-bit scale."""
-    width = (1 << SKETCH_BITS) // BLOCKS
+    """Document frequencies of shingles by hash bucket, over all documents, on a logarithmic 16-bit scale.
+
+    A task's share of a counter ends at 255; only the order of frequencies is of use, and any order gives the same links.
+    """
+    bits = min(MOST_SKETCH_BITS, max(LEAST_SKETCH_BITS, (64 * docs.count()).bit_length()))
+    width = (1 << bits) // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for u in _sets(batch, 0, k):
-                np.add.at(total, _bucket(u, SKETCH_BITS), 1)
+            for own in _chunk_sets(batch, 0, k):
+                np.add.at(total, _bucket(np.concatenate(own), bits), 1)
+        total = np.minimum(total, 255).astype(np.uint8)
         parts = [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(BLOCKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(width, np.uint64)
         for raw in pdf["counts"]:
-            got = np.frombuffer(zlib.decompress(raw), np.uint32)
-            total += got
+            got = zlib.decompress(raw)
+            total += np.frombuffer(got, np.uint8 if len(got) == width else np.uint32)
         packed = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [packed]})
 
     own = docs.select(text_col).mapInArrow(count, "block int, counts binary")
     some = own.groupBy("block", (F.spark_partition_id() % 8).alias("part")).applyInPandas(add, "block int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
+    out = np.zeros(1 << bits, np.uint16)
     for r in some.groupBy("block").applyInPandas(add, "block int, counts binary").toLocalIterator():
-        out[r.block * width : (r.block + 1) * width] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
-    return np.minimum(np.log2(1.0 + out) * 2000, 65535).astype(np.uint16)
+        counts = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
+        out[r.block * width : (r.block + 1) * width] = np.minimum(np.log2(1.0 + counts) * 2000, 65535).astype(np.uint16)
+    return out
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, frequency: np.ndarray) -> DataFrame:
     """(id, n, rid, pivots, prefix) of every document; rid is null for empty sets."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequency)  # 2**SKETCH_BITS counters at any input size
+    shared = docs.sparkSession.sparkContext.broadcast(frequency)  # 2**MOST_SKETCH_BITS counters at most
+    bits = len(frequency).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
@@ -108,7 +118,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
                 rid.append(_class_id(u))
                 pivots.append(np.minimum(np.bincount(_bucket(u, 4), minlength=16), 65535).astype(np.uint16).tobytes())
                 p = len(u) + (-percent * len(u) // 100) + 1
-                key = often[_bucket(u, SKETCH_BITS)].astype(np.uint64) << np.uint64(48) | u >> np.uint64(16)
+                key = often[_bucket(u, bits)].astype(np.uint64) << np.uint64(48) | u >> np.uint64(16)
                 some = np.argpartition(key, p - 1)[:p] if p < len(u) else np.arange(len(u))
                 order = some[np.lexsort((u[some], key[some]))]
                 prefix.append(u[order].view(np.int64))
@@ -256,8 +266,12 @@ def prefix_rows(reps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _open(rows: DataFrame, comps: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, float]:
-    """Rows of the keys that hold more than one group, with their group and whether it is the key's largest; and the pairs that those keys can still give."""
+def _open(rows: DataFrame, comps: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, float, float]:
+    """Rows of the keys that hold more than one group, with their group and whether it is the key's largest.
+
+    Also the pairs that these keys can still give, and those of keys with more than REST_ROWS rows outside the largest group (``many``).
+    """
+    rows = rows.select("key", "rid", "n", "cap", "own")
     if comps is None:
         grouped = rows.withColumn("comp", F.col("rid"))
     else:
@@ -265,10 +279,11 @@ def _open(rows: DataFrame, comps: DataFrame | None, scratch: Scratch) -> tuple[D
     grouped = scratch.keep(grouped, few=True)
     of = grouped.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("most")).where("most.c < c")
     of = scratch.keep(of.select("key", F.col("c").alias("all"), F.col("most.comp").alias("main"), F.col("most.c").alias("held")), few=True)
-    pairs = of.agg(F.sum((F.col("all") - F.col("held")) * F.col("all").cast("double"))).first()[0] or 0.0
-    live = scratch.keep(grouped.join(scratch.small(of), "key").select("key", "rid", "n", "cap", "own", "comp", F.col("all").alias("c"), (F.col("comp") == F.col("main")).alias("main")), few=True)
+    some, many = (F.col("all") - F.col("held")) * F.col("all").cast("double"), F.col("all") - F.col("held") > REST_ROWS
+    pairs, crowded = of.agg(F.coalesce(F.sum(some), F.lit(0.0)), F.coalesce(F.sum(F.when(many, some)), F.lit(0.0))).first()
+    live = scratch.keep(grouped.join(scratch.small(of), "key").select("key", "rid", "n", "cap", "own", "comp", F.col("all").alias("c"), (F.col("comp") == F.col("main")).alias("main"), many.alias("many")), few=True)
     scratch.drop(grouped, of)
-    return live, pairs
+    return live, pairs, crowded
 
 
 def open_pairs(live: DataFrame, percent: int) -> DataFrame:
@@ -309,20 +324,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     about = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double"))))
     held = F.greatest(F.lit(2.0), F.least(F.lit(float(BLOCK_CLASSES)), F.lit(float(BLOCK_ITEMS)) / about))
     comps, edges, turn = None, None, 0
-    live, pairs = _open(rows, None, scratch)
-    while pairs:
+    live, pairs, crowded = _open(rows, None, scratch)
+    many = live
+    while pairs and not turn or crowded:
         # In the first round the largest key, then one by chance that like sets agree on.
         rank = F.struct("c", "key", "n") if not turn else F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "c", "n")
-        homes = live.groupBy("rid").agg(F.max(rank).alias("x")).select("rid", "x.key", "x.c", "x.n")
+        homes = many.groupBy("rid").agg(F.max(rank).alias("x")).select("rid", "x.key", "x.c", "x.n")
         homes = homes.select("rid", "key", F.pmod(F.xxhash64("rid", F.lit(turn)), F.greatest(F.lit(1), F.ceil(F.col("c") / held))).cast("int").alias("block"))
         found = scratch.keep(_merged(scratch.small(scratch.keep(homes, few=True)), sets, percent), few=True)
         edges = found if edges is None else scratch.keep(edges.unionByName(found), few=True)
         comps = scratch.keep(components(edges, scratch).withColumnRenamed("u", "rid"), few=True)
-        before, turn = pairs, turn + 1
-        scratch.drop(live)
-        live, pairs = _open(rows, comps, scratch)
-        if 2 * pairs > before:
+        before, turn = crowded, turn + 1
+        # A key of one group stays so; from the second round on only crowded keys are looked at again.
+        seen, pairs, crowded = _open(many, comps, scratch)
+        if turn == 1:
+            live = seen
+        many = scratch.keep(seen.where("many").drop("many"), few=True)
+        if turn > 1 and 2 * crowded > before:
             break
+    if turn > 1:
+        live, pairs, _ = _open(live, comps, scratch)
     if pairs:
         found = scratch.keep(open_pairs(live, percent), few=True)
         candidates = scratch.keep(_filtered(scratch.small(found), meta, percent), few=True)
