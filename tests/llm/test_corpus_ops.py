@@ -72,6 +72,27 @@ def test_near_duplicates_equal_brute_force(spark, seed, k, percent, block, monke
     assert len(set(want)) < len(docs) - 10
 
 
+def test_large_families_merge_without_all_pairs(spark, monkeypatch):
+    """Near copies of one text, half of them linked with few others, and far copies with none: whole groups, few pairs joined."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    base, docs = [word() for _ in range(150)], []
+    for i in range(500):
+        copy = list(base)
+        for _ in range(rng.choice((1, 2, 3, 5) if i % 10 else (7, 9))):
+            copy[rng.randrange(150)] = word()
+        docs.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
+    joined = []
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 32)
+    real = ngram_join.open_pairs
+    monkeypatch.setattr(ngram_join, "open_pairs", lambda live, percent: joined.append(real(live, percent).count()) or real(live, percent))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df, k=4, percent=85).collect()}
+    _, want = groups(docs, 4, 85)
+    assert got == dict(enumerate(want))
+    assert max(Counter(want).values()) > 200 and len(set(want)) > 200 and sum(joined) < 500 * 20
+
+
 def test_near_duplicates_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (4, "q")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.near_duplicates(df).collect())
@@ -79,7 +100,11 @@ def test_near_duplicates_of_odd_tables(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [None, 0])
+def test_components(spark, small, monkeypatch):
+    if small is not None:
+        # However few edges, none are joined in one task: large stars and small stars.
+        monkeypatch.setattr("ratecraft.llm.components.SMALL", small)
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200 + i) for i in range(1, 40)]
     root = {}
