@@ -185,9 +185,14 @@ def check_plan(plan: Plan, df: DataFrame, target: str) -> PlanCheck:
     model = out.model
     for c in plan.encodings:
         if c in types and c in category_columns(plan):
-            from .binding import coded
+            from .binding import TREE_KEYS, coded
 
-            k = df.where(F.col(f"`{c}`").isNotNull() & (coded(c, types[c], model.encodings[c]) == UNSEEN)).count()
+            labels, held = model.encodings[c], df.where(F.col(f"`{c}`").isNotNull())
+            if len(labels) > TREE_KEYS:
+                known = df.sparkSession.createDataFrame([(v,) for v in labels], "_label string")
+                k = held.select(F.col(f"`{c}`").cast("string").alias("_label")).join(known, "_label", "left_anti").count()
+            else:
+                k = held.where(coded(c, types[c], labels) == UNSEEN).count()
             if k:
                 say("Medium", "unencodable_levels", f"{k} rows of {c} have a label outside the encoding")
     for t in model.tables:

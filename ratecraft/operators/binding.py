@@ -4,22 +4,27 @@ A row matches when every category is equal or a wildcard and every number is at
 bound; the fewest wildcards win, then the first row.  Single sorted bands and categories become balanced
 decision trees, complete grids one tree for each axis and an array look-up, and other tables a chain of
 cases in order of preference.  None of these shuffles or leaves whole-stage code generation.
-Tables too long for a chain are joined by broadcast, since a table is small by nature and its size is checked.
+Labels and codes too many for a tree are looked up by a join on equality, broadcast where their counted number allows.  Irregular
+tables too long for a chain are scanned in vectors, once for each distinct place of an observation among the table's bounds and codes.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import UNSEEN, WILDCARD, Model, Table
 
-#: Rows of the longest chain of cases, and of the largest table that is broadcast.
-CHAIN_ROWS, BROADCAST_ROWS = 400, 200_000
+#: Rows of the longest chain of cases, keys of the largest tree, and of the largest that is broadcast.
+CHAIN_ROWS, TREE_KEYS, BROADCAST_ROWS = 400, 1_000, 200_000
+#: Places of observations whose row is kept in mind by one worker.
+MEMO = 500_000
 
 
 def _tree(keys: Sequence, leaf: Callable[[int], Column], at_most: Callable[[object], Column]) -> Column:
@@ -67,8 +72,8 @@ def coded(column: str, dtype: str, encoding: list[str] | None) -> Column:
     raise ValueError(f"column {column} of type {dtype} can't be a category; cast it to string or integer")
 
 
-def feature_columns(model: Model, df: DataFrame) -> dict[str, Column]:
-    """The numeric or coded column of each feature, after checks of presence and type."""
+def feature_columns(model: Model, df: DataFrame, known: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The numeric or coded column of each feature, after checks of presence and type; ``known`` has codes that were looked up already."""
     types, out = dict(df.dtypes), {}
     for t in model.tables:
         for a in t.axes:
@@ -76,7 +81,7 @@ def feature_columns(model: Model, df: DataFrame) -> dict[str, Column]:
                 raise ValueError(f"column {a.name}, which table {t.name} reads, is missing")
             kind = types[a.name]
             if a.kind == "category":
-                got = coded(a.name, kind, model.encodings.get(a.name))
+                got = known[a.name] if known and a.name in known else coded(a.name, kind, model.encodings.get(a.name))
             elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
                 got = F.col(f"`{a.name}`").cast("double")
             else:
@@ -127,22 +132,26 @@ def row_of(t: Table, x: Sequence[Column]) -> Column:
         for i, (k,) in enumerate(t.keys):
             first.setdefault(float(k), i)
         edges, rows = list(first), list(first.values())
+        if len(edges) > TREE_KEYS * 10:
+            raise LookupError("too many bounds for an expression")
         if rows == list(range(len(rows))):
             return lower_bound(x[0], edges)
         return F.when(~missing(x[0]) & (x[0] <= edges[-1]), _tree(edges, lambda i: F.lit(rows[i]), lambda e: x[0] <= float(e)))
     if len(t.axes) == 1 and t.axes[0].kind == "category":
-        rows: dict[int, int] = {}
-        for i, (k,) in enumerate(t.keys):
-            rows.setdefault(WILDCARD if k is None else int(k), i)
-        wild = rows.pop(WILDCARD, None)
+        rows, wild = _rows_of_codes(t)
+        if len(rows) > TREE_KEYS:
+            raise LookupError("too many codes for an expression")
         return look_up(x[0], list(rows), list(rows.values()), wild)
     if (grid := _grid(t)) is not None:
+        if any(len(own) > (TREE_KEYS if a.kind == "category" else TREE_KEYS * 10) for own, a in zip(grid, t.axes)):
+            raise LookupError("too many keys of an axis for an expression")
         cell, place = F.lit(0), {k: i for i, k in enumerate(t.keys)}
         for v, own, axis in zip(x, grid, t.axes):
             at = lower_bound(v, own) if axis.kind == "band" else look_up(v, own, range(len(own)), None)
             cell = cell * len(own) + at
         order = [place[k] for k in _product(grid)]
-        return cell if order == list(range(t.n)) else F.element_at(F.array(*[F.lit(r) for r in order]), cell + 1)
+        # One text, read once when the plan is made, stands for a long array.
+        return cell if order == list(range(t.n)) else F.get(F.from_json(F.lit(json.dumps(order)), "array<int>"), cell)
     if t.n > CHAIN_ROWS:
         raise LookupError("too many rows for an expression")
     out: Column | None = None
@@ -152,6 +161,15 @@ def row_of(t: Table, x: Sequence[Column]) -> Column:
     return out
 
 
+def _rows_of_codes(t: Table) -> tuple[dict[int, int], int | None]:
+    """The first row of each code, and that of all others."""
+    rows: dict[int, int] = {}
+    for i, (k,) in enumerate(t.keys):
+        rows.setdefault(WILDCARD if k is None else int(k), i)
+    wild = rows.pop(WILDCARD, None)
+    return rows, wild
+
+
 def lower_bound_floor(x: Column, edges: Sequence[float]) -> Column:
     """Number of ascending edges that are at most x."""
     if not edges:
@@ -180,39 +198,108 @@ def _holds(t: Table, i: int, x: Sequence[Column]) -> Column:
     return cond
 
 
-def _joined(df: DataFrame, t: Table, x: Sequence[Column], out: str) -> DataFrame:
-    """Binding by a broadcast join on the match rule; for long irregular tables."""
-    if t.n > BROADCAST_ROWS:
-        raise ValueError(f"table {t.name} has {t.n} rows; at most {BROADCAST_ROWS} can be broadcast")
-    spark = df.sparkSession
-    names = [f"_k{j}" for j in range(len(t.axes))]
-    data = [(*[None if k is None else (int(k) if a.kind == "category" else float(k)) for k, a in zip(key, t.axes)], t.wildcards(i), i) for i, key in enumerate(t.keys)]
-    schema = ", ".join(f"{n} {'int' if a.kind == 'category' else 'double'}" for n, a in zip(names, t.axes)) + ", _w int, _r int"
-    rows = F.broadcast(spark.createDataFrame(data, schema))
-    cond = F.lit(True)
-    for n, a, v in zip(names, t.axes, x):
-        k = F.col(n)
-        fits = (k == WILDCARD) | (k == v) if a.kind == "category" else F.when(F.isnan(k), missing(v)).otherwise(~missing(v) & (v <= k))
-        cond = cond & (k.isNull() | F.coalesce(fits, F.lit(False)))
-    keyed = df.withColumn("_id", F.monotonically_increasing_id())
-    best = keyed.join(rows, cond, "left").groupBy("_id").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in df.columns], F.min_by("_r", F.struct("_w", "_r")).alias(out))
-    return best.drop("_id")
+def _looked_up(df: DataFrame, key: Column, rows: dict, default: int | None, out: str) -> DataFrame:
+    """Adds the int of each key by a join on equality; null keys stay null, others that are not there get the default."""
+    kind = "string" if all(isinstance(k, str) for k in rows) else "int"
+    pairs = df.sparkSession.createDataFrame(list(rows.items()), f"_key {kind}, _value int")
+    if len(rows) <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
+    asked = df.withColumn("_asked", key.cast(kind))
+    value = F.when(F.col("_asked").isNotNull(), F.coalesce("_value", F.lit(default).cast("int")))
+    return asked.join(pairs, F.col("_asked") == F.col("_key"), "left").withColumn(out, value).drop("_asked", "_key", "_value")
+
+
+def scanner(t: Table) -> Callable[[list[np.ndarray]], np.ndarray]:
+    """A function from columns of values (NaN for missing numbers) to rows, -1 for none, for tables of any form.
+
+    A row depends only on the place of each value among the table's own bounds and codes, so the table is scanned once for each
+    distinct tuple of places.
+    """
+    order = sorted(range(t.n), key=lambda i: (t.wildcards(i), i))
+    axes = []
+    for j, a in enumerate(t.axes):
+        own = [t.keys[i][j] for i in order]
+        free = np.array([k is None or (a.kind == "category" and k == WILDCARD) for k in own])
+        gone = np.array([not f and a.kind == "band" and math.isnan(k) for k, f in zip(own, free)])
+        known = np.array(sorted({k for k, f, g in zip(own, free, gone) if not f and not g}), float if a.kind == "band" else np.int64)
+        place = np.array([-1 if f or g else int(np.searchsorted(known, k)) for k, f, g in zip(own, free, gone)])
+        axes.append((a.kind, known, free, gone, place))
+    rows, memo = np.array(order), {}
+
+    def first(places: tuple[int, ...]) -> int:
+        hit = np.ones(len(rows), bool)
+        for (kind, known, free, gone, place), p in zip(axes, places):
+            if kind == "category":
+                hit &= free | (place == p)
+            else:
+                # One past the last place but one stands for a missing number.
+                hit &= free | (gone if p > len(known) else ~gone & (place >= p))
+        at = int(hit.argmax()) if len(hit) else 0
+        return int(rows[at]) if len(hit) and hit[at] else -1
+
+    def run(values: list[np.ndarray]) -> np.ndarray:
+        places = []
+        for (kind, known, *_), v in zip(axes, values):
+            if kind == "category":
+                at = np.minimum(np.searchsorted(known, v), max(len(known) - 1, 0))
+                places.append(np.where(known[at] == v, at, len(known)) if len(known) else np.zeros(len(v), np.int64))
+            else:
+                places.append(np.where(np.isnan(v), len(known) + 1, np.searchsorted(known, v, "left")))
+        distinct, back = np.unique(np.stack(places, 1), axis=0, return_inverse=True)
+        if len(memo) > MEMO:
+            memo.clear()
+        out = np.empty(len(distinct), np.int64)
+        for i, p in enumerate(map(tuple, distinct.tolist())):
+            if p not in memo:
+                memo[p] = first(p)
+            out[i] = memo[p]
+        return out[back.ravel()]
+
+    return run
+
+
+def _scanned(t: Table, x: Sequence[Column]) -> Column:
+    """Binding of long irregular tables by an Arrow-batched function, without a join or a shuffle."""
+    kinds = [a.kind for a in t.axes]
+    run = scanner(t)
+
+    def rows(*columns: pd.Series) -> pd.Series:
+        got = run([c.to_numpy(np.int64) if k == "category" else c.to_numpy(float, na_value=np.nan) for c, k in zip(columns, kinds)])
+        return pd.Series(got, dtype="Int32").where(got >= 0)
+
+    # A null category takes part in no row, not even that of a wildcard.
+    codes = [v for v, k in zip(x, kinds) if k == "category"]
+    lost = F.lit(False)
+    for c in codes:
+        lost = lost | c.isNull()
+    given = [F.coalesce(v, F.lit(UNSEEN)) if k == "category" else v for v, k in zip(x, kinds)]
+    return F.when(~lost, F.pandas_udf(rows, "int")(*given))
 
 
 def bind(df: DataFrame, model: Model, prefix: str = "_row") -> DataFrame:
     """Adds an int column ``_row<i>`` for each table, null where no row matches."""
-    features = feature_columns(model, df)
+    types, known, out = dict(df.dtypes), {}, df
+    for c in dict.fromkeys(a.name for t in model.tables for a in t.axes if a.kind == "category"):
+        labels = model.encodings.get(c)
+        if labels is not None and len(labels) > TREE_KEYS and c in types:
+            out = _looked_up(out, F.col(f"`{c}`").cast("string"), {v: i for i, v in reversed(list(enumerate(labels)))}, UNSEEN, f"_code_{c}")
+            known[c] = F.coalesce(F.col(f"`_code_{c}`"), F.lit(UNSEEN))
+    features = feature_columns(model, df, known)
     simple, late = {}, []
     for i, t in enumerate(model.tables):
         x = [features[f"{a.kind}:{a.name}"] for a in t.axes]
         try:
             simple[f"{prefix}{i}"] = row_of(t, x).cast("int")
         except LookupError:
-            late.append((f"{prefix}{i}", t, x))
-    out = df.withColumns(simple)
+            if len(t.axes) == 1 and t.axes[0].kind == "category":
+                late.append((f"{prefix}{i}", t, x[0]))
+            else:
+                simple[f"{prefix}{i}"] = _scanned(t, x)
+    out = out.withColumns(simple)
     for name, t, x in late:
-        out = _joined(out, t, x, name)
-    return out
+        rows, wild = _rows_of_codes(t)
+        out = _looked_up(out, x, rows, wild, name)
+    return out.drop(*[f"_code_{c}" for c in known])
 
 
 def effect(t: Table, row: Column, x: Sequence[Column]) -> Column:
@@ -223,14 +310,17 @@ def effect(t: Table, row: Column, x: Sequence[Column]) -> Column:
         return expression(x[0], t.knots, t.factors)
     if not t.axes:
         return F.lit(float(t.factors[0]))
-    values = F.array(*[F.lit(float(v)) for v in t.factors])
+    if t.n > TREE_KEYS:
+        # One text, read once when the plan is made, in place of a literal for each row.
+        values = F.from_json(F.lit(json.dumps([float(v) for v in t.factors])), "array<double>")
+    else:
+        values = F.array(*[F.lit(float(v)) for v in t.factors])
     return F.get(values, row)
 
 
 def linear_predictor(df: DataFrame, model: Model, prefix: str = "_row") -> list[Column]:
     """The terms of bound rows, table by table."""
-    features = feature_columns(model, df)
-    return [effect(t, F.col(f"{prefix}{i}"), [features[f"{a.kind}:{a.name}"] for a in t.axes]) for i, t in enumerate(model.tables)]
+    return [effect(t, F.col(f"{prefix}{i}"), [F.col(f"`{a.name}`").cast("double") for a in t.axes] if t.knots is not None else []) for i, t in enumerate(model.tables)]
 
 
 def scan_rows(t: Table, values: list[tuple]) -> np.ndarray:

@@ -108,6 +108,7 @@ def totals(scored: DataFrame, family: Family, y: Column, w: Column, o: Column, m
         on(w * F.ln(F.when(mu > 0, mu).otherwise(1.0))).alias("wlogmu"), on(w * F.ln(F.when(y > 0, y).otherwise(1.0))).alias("wlogy"), on(w * y / F.when(mu != 0, mu).otherwise(1.0)).alias("wymu"),
         on(F.ln(F.when(w > 0, w).otherwise(1.0))).alias("logw"), F.sum(F.when(w > 0, F.exp(o) * w).otherwise(0.0)).alias("wq"),
         on(w * xlogx(y)).alias("wylogy"), on(w * xlogx(1 - y)).alias("wzlogz") if family.name == "binomial" else F.lit(0.0).alias("wzlogz"), on(w * y * y).alias("wyy"), on(w * y * o).alias("wyo"), on(w * half).alias("whalf"),
+        on(F.greatest(F.abs(row_scores(family, y, w, mu)), F.abs(row_scores(family, F.lit(0.0), w, mu)))).alias("scores"),
     ).first()
     return {k: (float(v) if v is not None else math.nan) for k, v in got.asDict().items()}
 
@@ -226,6 +227,7 @@ def cluster_meat(scored: DataFrame, fit: Fit, cluster: str, score: Column) -> tu
 def infer(model: Model, fit: Fit, family: Family, scored: DataFrame, y: Column, w: Column, o: Column, mu: Column, *, covariance: str = "model", cluster: str | None = None, errors: bool = True, normalization: str = "base_level") -> Inference:
     """Inference at a fit from one row-level pass, and another for sandwich covariances."""
     t = totals(scored, family, y, w, o, mu)
+    fit.judged_by_rows(t["scores"])
     notes: list[str] = []
     h, p = fit.information, len(fit.beta)
     l1, l2 = fit.penalty

@@ -99,8 +99,15 @@ class Fit:
     information: np.ndarray
     exposure: list[np.ndarray]
     penalty: tuple[float, float] = (0.0, 0.0)
+    most: float = float("inf")
+    tolerance: float = 0.0
     notes: list[str] = field(default_factory=list)
 
+    def judged_by_rows(self, size: float) -> None:
+        """Takes the sum over rows of the larger of |score| and |score at a response of 0| as the scale of the largest free score."""
+        self.score = self.most / max(size, 1e-300)
+        self.converged = self.score <= self.tolerance
+
 
 def contrasts(n: int, fixed: np.ndarray) -> np.ndarray:
     """Unit columns for the rows that are free."""
@@ -410,9 +417,11 @@ def fit_cells(model: Model, cells: Cells, family: Family, options: Options) -> F
         zero = weight if family.link == "log" else bb * np.abs(eta) if family.link == "identity" else bb / (1 + np.exp(-np.clip(eta, -ETA_LIMIT, ETA_LIMIT)))
         return max(float(np.maximum(np.abs(score), np.abs(zero)).sum()), 1e-300)
 
+    most = np.inf
     if solver == "table":
         problem = Sweeps(index, sizes, blocks, eta_of, parts, objective, family, penal, l1, l2, low, exact=l1 + l2 == 0)
         beta, it, done, why = problem.run(beta, gradient, size_of, options)
+        most = gradient(beta, parts(eta_of(beta))[0])[1]
     stalled = 0
     for it in range(1, options.max_iterations + 1) if solver != "table" else ():
         smooth, most = gradient(beta, score)
@@ -455,7 +464,7 @@ def fit_cells(model: Model, cells: Cells, family: Family, options: Options) -> F
             factors.append(np.concatenate([[0.0], beta[own.columns]]))
         else:
             factors.append(np.where(t.locked, t.factors, 0.0) + own.map @ beta[own.columns])
-    fit = Fit(factors, blocks, beta, it, done, why, solver if solver == "table" or options.solver != "auto" or not low_or_curved(model) else "joint", index, sizes, eta, information(index, sizes, blocks, np.maximum(weight, 0)) if blocks else np.zeros((0, 0)), exposure, (l1, l2))
+    fit = Fit(factors, blocks, beta, it, done, why, solver if solver == "table" or options.solver != "auto" or not low_or_curved(model) else "joint", index, sizes, eta, information(index, sizes, blocks, np.maximum(weight, 0)) if blocks else np.zeros((0, 0)), exposure, (l1, l2), most, options.tolerance)
     normalize(model, fit, options.normalization)
     return fit
 

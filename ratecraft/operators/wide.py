@@ -154,13 +154,14 @@ def fit_wide(model: Model, cells: DataFrame, family: Family, options: Options) -
             beta[lead.first] = np.log(m / (1 - m)) - moved / max(down, 1e-300)
     objective = lambda beta, value: value - l1 * np.abs(beta[penal]).sum() - l2 / 2 * (beta[penal] ** 2).sum()
     value, size, g, h = at(beta)
-    now, done, why, it, stalled = objective(beta, value), False, np.inf, 0, 0
+    now, done, why, most, it, stalled = objective(beta, value), False, np.inf, np.inf, 0, 0
     for it in range(1, options.max_iterations + 1):
         smooth = g - l2 * np.where(penal, beta, 0)
         kkt = smooth.copy()
         kkt[penal] = np.where(beta[penal] != 0, smooth[penal] - l1 * np.sign(beta[penal]), np.sign(smooth[penal]) * np.maximum(np.abs(smooth[penal]) - l1, 0))
         kkt[(beta <= low) & (smooth < 0)] = 0
-        why = float(np.abs(kkt).max(initial=0)) / size
+        most = float(np.abs(kkt).max(initial=0))
+        why = most / size
         if why <= options.tolerance:
             done = True
             break
@@ -191,6 +192,6 @@ def fit_wide(model: Model, cells: DataFrame, family: Family, options: Options) -
             factors.append(np.concatenate([[0.0], beta[own.columns]]))
         else:
             factors.append(np.where(t.locked, t.factors, 0.0) + own.map @ beta[own.columns])
-    fit = Fit(factors, blocks, beta, it, done, why, "partitions", np.zeros((0, n_tables), np.int64), sizes, np.zeros(0), h, exposure, (l1, l2))
+    fit = Fit(factors, blocks, beta, it, done, why, "partitions", np.zeros((0, n_tables), np.int64), sizes, np.zeros(0), h, exposure, (l1, l2), most, options.tolerance)
     normalize(model, fit, options.normalization)
     return fit

@@ -62,6 +62,48 @@ def test_joined_binding_equals_scan(spark, name, monkeypatch):
     test_equals_scan(spark, name)
 
 
+@pytest.mark.parametrize("name", [n for n in TABLES if n != "constant"])
+def test_long_tables_equal_scan(spark, name, monkeypatch):
+    """As if every table, tree and array were too long for an expression."""
+    monkeypatch.setattr(binding, "CHAIN_ROWS", 0)
+    monkeypatch.setattr(binding, "TREE_KEYS", 0)
+    test_equals_scan(spark, name)
+
+
+@pytest.mark.parametrize("most", [200_000, 10])
+def test_many_labels_and_factors(spark, monkeypatch, most):
+    """Labels, codes and factors by the thousand: joins on equality, broadcast or not, and one text for the factors."""
+    from ratecraft.operators.scoring import predict_linear
+
+    monkeypatch.setattr(binding, "BROADCAST_ROWS", most)
+    labels = [f"l{i:05d}" for i in range(3000)]
+    t = Table("c", "categorical", (C,), [(i,) for i in reversed(range(2500))] + [(WILDCARD,)], [i / 7 for i in range(2501)])
+    t.factors = __import__("numpy").array(t.factors)
+    rows = [(i, v) for i, v in enumerate([*labels[::100], "new", None])]
+    df = spark.createDataFrame(rows, "i int, c string")
+    m = Model([Table("intercept", "intercept"), t], link="identity", family="gaussian", encodings={"c": labels})
+    got = {r.i: r.linear_predictor for r in predict_linear(df, m).collect()}
+    for i, v in rows:
+        code = labels.index(v) if v in labels else None
+        row = 2499 - code if code is not None and code < 2500 else 2500
+        assert got[i] == row / 7
+    assert set(bind(df, m).columns) == {"i", "c", "_row0", "_row1"}
+    long = bind(df, m)._jdf.queryExecution().executedPlan().toString()
+    assert most == 10 or "BroadcastHashJoin" in long and "Exchange hashpartitioning" not in long
+
+
+def test_long_irregular_tables_neither_join_nor_shuffle(spark):
+    rng = random.Random(5)
+    keys = [(rng.uniform(0, 100), rng.choice([0, 1, 2, 3, WILDCARD]), rng.uniform(0, 100)) for _ in range(1200)]
+    t = Table("t", "given", (X, C, Y), keys)
+    values = [(rng.choice([None, NAN, rng.uniform(-5, 120)]), rng.choice([None, 0, 1, 2, 9]), rng.uniform(-5, 120)) for _ in range(400)]
+    prepared = [(x, UNSEEN if c is None else c, y) for x, c, y in values]
+    assert rows_by_spark(spark, t, values) == scan_rows(t, prepared).tolist()
+    df = spark.range(10).selectExpr("cast(id as double) x", "cast(id as int) c", "cast(id as double) y")
+    plan = bind(df, Model([t]))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_random_tables(spark):
     rng = random.Random(11)
     for _ in range(6):
