@@ -14,7 +14,8 @@ import pandas as pd
 from ..operators.audit import Issue, check_table
 from ..plans.tables import LINKS, UNSEEN, WILDCARD, Axis, Model, Table
 
-VERSION = 1
+#: The version written; this and all earlier ones can be read.
+VERSION = 2
 ANY = "*"
 
 
@@ -46,6 +47,28 @@ def _number(text: object) -> float:
     return {"inf": math.inf, "-inf": -math.inf, "NaN": math.nan, "nan": math.nan}.get(t, None) if t in ("inf", "-inf", "NaN", "nan") else float(t)
 
 
+def kind_by_content(values: list, labelled: bool) -> str:
+    """What a column without a declared kind is: whole numbers are codes, numbers and their spellings bands, the rest labels."""
+    own = [v for v in values if v is not None and v != ""]
+    if own and all(isinstance(v, int) and not isinstance(v, bool) for v in own):
+        return "category"
+    if own and not labelled:
+        try:
+            [_number(v) for v in own]
+            return "band"
+        except ValueError:
+            pass
+    return "label"
+
+
+def _readable(manifest: dict) -> dict:
+    """The manifest, if its format version can be read; what early versions leave out is filled in."""
+    version = manifest.get("format_version", manifest.get("version", 1))
+    if not isinstance(version, int) or isinstance(version, bool) or not 1 <= version <= VERSION:
+        raise ValueError(f"the workbook has format version {version}; versions 1 to {VERSION} can be read")
+    return {"scale": "factor", "target": None, "exposure": None, "role": "none", "tweedie_power": 1.5, "encodings": {}, **manifest}
+
+
 def _shown(v: object) -> object:
     if isinstance(v, float):
         return "NaN" if math.isnan(v) else "inf" if v == math.inf else "-inf" if v == -math.inf else v
@@ -87,7 +110,7 @@ class Workbook:
                 "name": t.name, "kind": t.kind, "axes": [[a.name, a.kind] for a in t.axes], "fixed": t.fixed, "locked": [i for i, x in enumerate(t.locked) if x], "locked_keys": [[_shown(x) for x in t.keys[i]] for i, y in enumerate(t.locked) if y],
                 "degree": t.degree, "values": None if t.values is None else t.values.tolist(), "direction": t.direction, "knots": None if t.knots is None else t.knots.tolist(), "factors": t.factors.tolist(),
             })
-        manifest = {"version": VERSION, "scale": scale, "family": m.family, "link": m.link, "target": m.target, "exposure": m.exposure, "role": m.role, "tweedie_power": m.tweedie_power, "encodings": m.encodings, "tables": meta}
+        manifest = {"format_version": VERSION, "scale": scale, "family": m.family, "link": m.link, "target": m.target, "exposure": m.exposure, "role": m.role, "tweedie_power": m.tweedie_power, "encodings": m.encodings, "tables": meta}
         return Workbook(tables, manifest)
 
     @staticmethod
@@ -126,8 +149,13 @@ class Workbook:
 
     @staticmethod
     def load_json(path: str) -> "Workbook":
+        """Tables are lists of rows under named columns, or lists of records whose last column holds the values."""
         body = json.loads(Path(path).read_text(encoding="utf-8"))
-        return Workbook([(t["name"], t["columns"], t["rows"]) for t in body["tables"]], body["manifest"])
+        tables = []
+        for t in body["tables"]:
+            columns = t["columns"] if "columns" in t else list(dict.fromkeys(c for r in t["records"] for c in r))
+            tables.append((t["name"], columns, t["rows"] if "rows" in t else [[r.get(c) for c in columns] for r in t["records"]]))
+        return Workbook(tables, _readable(body["manifest"]))
 
     def save_csv_dir(self, path: str) -> None:
         """``NN_name.csv`` for each table, and manifest.json."""
@@ -145,7 +173,7 @@ class Workbook:
     @staticmethod
     def load_csv_dir(path: str) -> "Workbook":
         top = Path(path)
-        manifest = json.loads((top / "manifest.json").read_text(encoding="utf-8"))
+        manifest = _readable(json.loads((top / "manifest.json").read_text(encoding="utf-8")))
         tables = []
         for meta, name in zip(manifest["tables"], manifest["files"]):
             with (top / name).open(newline="", encoding="utf-8") as f:
@@ -164,7 +192,17 @@ class Workbook:
         faults: list[str] = []
         encodings = {c: list(v) for c, v in self.manifest["encodings"].items()}
         made: list[Table] = []
-        for k, (meta, (name, columns, rows)) in enumerate(zip(self.manifest["tables"], self.tables)):
+        metas = self.manifest.get("tables") or [{"name": name} for name, _, _ in self.tables]
+        link = self.manifest.get("link") or LINKS[self.manifest["family"]]
+        for k, (meta, (name, columns, rows)) in enumerate(zip(metas, self.tables)):
+            meta = {"kind": "given" if k else "intercept", "fixed": False, "locked_keys": [], "degree": 0, "values": None, "direction": None, "knots": None, "factors": [], **meta}
+            if "axes" not in meta:
+                kinds = [kind_by_content([r[j] for r in rows], c in encodings) for j, c in enumerate(columns[:-1])]
+                for j, (c, kind) in enumerate(zip(columns, kinds)):
+                    if kind == "label" and c not in self.manifest["encodings"]:
+                        own = {str(r[j]) for r in rows if r[j] not in (None, "", ANY)}
+                        encodings[c] = [*encodings.get(c, []), *sorted(own - set(encodings.get(c, [])), key=str.encode)]
+                meta["axes"] = [[c, "band" if kind == "band" else "category"] for c, kind in zip(columns, kinds)]
             axes = tuple(Axis(n, kind) for n, kind in meta["axes"])
             keys, values = [], []
             for r in rows:
@@ -200,7 +238,7 @@ class Workbook:
         if faults:
             raise ValueError("; ".join(dict.fromkeys(faults)))
         g = self.manifest
-        return FittedModel(Model(made, g["family"], g["link"], encodings, g["target"], g["exposure"], g["role"], g["tweedie_power"]), notes=[f"{n.code}: {n.message}" for n in self.notes])
+        return FittedModel(Model(made, g["family"], link, encodings, g["target"], g["exposure"], g["role"], g["tweedie_power"]), notes=[f"{n.code}: {n.message}" for n in self.notes])
 
     def _review(self, t: Table, meta: dict) -> None:
         note = lambda c, m: self.notes.append(Issue("Medium", c, f"{t.name}: {m}"))
