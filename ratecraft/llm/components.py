@@ -18,9 +18,11 @@ SMALL = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of this machine only where none is set, as in tests."""
+    """The folder that all executors share; one of this machine only where none is set and all runs in one process, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="ratecraft-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")

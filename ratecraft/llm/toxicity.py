@@ -24,12 +24,12 @@ class Model(NamedTuple):
 
 
 def _features(points: np.ndarray, a: int, b: int, buckets: list[np.ndarray], orders: tuple[int, ...]) -> np.ndarray:
-    """The buckets of one document, for each place and order."""
-    return np.concatenate([h[a : max(a, b - n + 1)] for h, n in zip(buckets, orders)])
+    """The distinct buckets of one document in each order, as scoring sums them."""
+    return np.concatenate([np.unique(h[a : max(a, b - n + 1)]) for h, n in zip(buckets, orders)])
 
 
 def learn(samples: list[np.ndarray], y: np.ndarray, orders: tuple[int, ...], bits: int, min_documents: int = 5, smoothing: float = 1.0, l2: float = 2e-4, steps: int = 150) -> Model:
-    """Trains on arrays of distinct buckets. With one class or none, scores are its smoothed share."""
+    """Trains on arrays of buckets, distinct in each order. With one class or none, scores are its smoothed share."""
     size = 1 << bits
     n1, n0 = float((y == 1).sum()), float((y == 0).sum())
     prior = float(np.log((n1 + 1) / (n0 + 1)))
@@ -38,7 +38,7 @@ def learn(samples: list[np.ndarray], y: np.ndarray, orders: tuple[int, ...], bit
         return Model(table, prior if len(y) else -2.0, orders, bits)
     p, q = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for own, label in zip(samples, y):
-        (p if label == 1 else q)[own] += 1
+        np.add.at(p if label == 1 else q, own, 1)
     # Ratios are taken of the buckets that enough documents hold, never of whole rows of the sample.
     use = np.flatnonzero(p + q >= min_documents)
     hot, cold = p[use].astype(float), q[use].astype(float)
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             for chunk in K.chunks(batch.column(1)):
                 points, at = codepoints(chunk)
                 buckets = [grams(points, n, bits) for n in orders]
-                out = [np.unique(_features(points, a, b, buckets, orders)).astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:])]
+                out = [_features(points, a, b, buckets, orders).astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([who.slice(chunk.first, chunk.n), pa.array(out, pa.binary())], ["_id", "f"])
 
     if not ids:

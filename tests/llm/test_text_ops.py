@@ -103,6 +103,34 @@ def test_packing_balances_cost():
     assert sum(x for s in got for _, _, x in s) == sum(lengths)
 
 
+def test_packing_levels_attention_cost():
+    """With room to choose, sequences' costs lie closer together than where documents go into the first sequence with room."""
+    rng = random.Random(8)
+    lengths = [rng.randint(1, 700) for _ in range(400)]
+    n = -(-sum(lengths) // 1000) + 20
+    cost = lambda s: sum(x + x * x / 1000 for x in s)
+    level = [cost([x for _, _, x in s]) for s in packing.assign(lengths, n, 1000, 1.0, 0.001)]
+    first: list[list[int]] = [[] for _ in range(n)]
+    for x in sorted(lengths, reverse=True):
+        next(s for s in first if sum(s) + x <= 1000).append(x)
+    assert sum(level) == pytest.approx(sum(map(cost, first)))
+    assert np.std(level) < 0.5 * np.std([cost(s) for s in first])
+    # Each document goes to the open sequence of least cost: no move of a last piece to a cheaper one with room would level more.
+    assert packing.assign([5, 5, 5, 5], 2, 20, 1.0, 1.0) == [[(0, 0, 5), (2, 0, 5)], [(1, 0, 5), (3, 0, 5)]]
+
+
+def test_packing_keeps_ids_of_any_type(spark):
+    from pyspark.sql import functions as F
+
+    from ratecraft.llm.queries import tokenizer_path
+
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "n int, text string")
+    for kind in ("smallint", "double", "date", "decimal(9,2)", "string"):
+        ids = docs.select((F.date_add(F.lit("2020-01-01"), F.col("n")) if kind == "date" else F.col("n").cast(kind)).alias("doc_id"), "text")
+        got = packing.pack(ids, tokenizer_path())
+        assert got.schema["doc_id"].dataType == ids.schema["doc_id"].dataType and len({r.doc_id for r in got.collect()}) == 2
+
+
 def plain_counts(t):
     w = WORD.findall(t)
     seen, dup = set(), 0
