@@ -1,7 +1,8 @@
 """A corpus pipeline: quality rules, line dedup, near-duplicate removal, PII, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read
-again as the next one's docs.  All but the last return the columns of ``documents``.
+again as the next one's docs.  All but the last return the columns of ``documents``.  An empty table
+gives an empty one; other columns of ``docs`` are not passed on; a document is never cut.
 """
 
 from __future__ import annotations
@@ -22,30 +23,48 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and short texts fail the base rules and go; repeated rows are judged alike.  The chain is
+    trained on all of documents and labels of ``sf_dir``, whatever ``docs`` holds.
+    """
     crf = quality_rules.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return _documents(quality_rules.quality(docs, crf).where("kept"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the repeats of lines that many sites share."""
+    """All documents, without the repeats of lines that many sites share.
+
+    Null texts stay null; a text can become empty.  Of a line's occurrences that of the least id and place stays, a null id
+    before all others; rows equal in id and text count as one.
+    """
     return _documents(line_dedup.dedup_lines(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies; rows that share an id are one document."""
+    """One document, that of the least id, of each group of near copies.
+
+    Rows that share an id are one document: they stay or go together.  Null, empty and wordless texts are near to nothing and
+    stay, and so do rows without an id, which are the document of no group.
+    """
     found = ngram_join.near_duplicates(docs, k=5, percent=80)
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
     return _documents(docs.join(gone, "doc_id", "left_anti"))
 
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data."""
+    """All documents, with surrogates for personal data, one for each entity wherever it occurs.
+
+    Null and empty texts stay as they are.  Surrogates are checked to be distinct over all documents.
+    """
     return _documents(pii.replace_checked(docs, PII_KEY))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens.
+
+    A null or empty text is its end token alone; repeated rows and rows without an id are packed each.
+    """
     return packing.pack(docs, tokenizer_path())
 
 
