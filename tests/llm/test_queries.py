@@ -41,6 +41,15 @@ def test_whole_tables_in_form(spark, ids, name):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == left) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_line_dedup_equals_its_sql(spark):
+    duck = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        duck.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    want = sorted(duck.execute(queries.oracle_sql()["op6_line_dedup"]).fetchall())
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in queries.op6_line_dedup(spark, SF).collect())
+    assert got == want and any(r[2] for r in want)
+
+
 def test_neighbours_in_form(spark):
     got = queries.op2_learned_partitions(spark, SF)
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"}
