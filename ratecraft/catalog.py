@@ -446,8 +446,8 @@ o AS (SELECT *, sum(w) OVER (ORDER BY mu) - w AS before, sum(wy) OVER (ORDER BY
 
 @query(f"WITH {{policies}}, {_GROUPS} SELECT least(floor(before / tw * 8), 7)::BIGINT AS bin, sum(n)::BIGINT AS n, round(sum(w), 4) AS weight, round(sum(wy), 4) AS actual, round(sum(w * mu), 4) AS expected FROM o GROUP BY 1")
 def calibration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = validation.by_prediction(validation.scored_rows(policies(spark, sf_dir), tariff())).persist()
-    total = groups.agg(F.sum("w")).first()[0]
+    groups = validation.by_prediction(validation.scored_rows(policies(spark, sf_dir), tariff()))
+    total = policies(spark, sf_dir).agg(F.sum("exposure")).first()[0]
     out = validation.calibration(groups, total, 8)
     return out.select("bin", F.col("n").cast("long").alias("n"), *[F.round(c, 4).alias(c) for c in ("weight", "actual", "expected")])
 
@@ -456,7 +456,9 @@ def calibration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gini_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = validation.by_prediction(validation.scored_rows(policies(spark, sf_dir), tariff())).persist()
     r = groups.agg(F.sum("w"), F.sum("wy")).first()
-    return spark.createDataFrame([(round(validation.gini(groups, r[0], r[1]), 9),)], "gini double")
+    gini = round(validation.gini(groups, r[0], r[1]), 9)
+    groups.unpersist()
+    return spark.createDataFrame([(gini,)], "gini double")
 
 
 @query(f"""WITH {{policies}}, s AS (SELECT *, {_RATE} AS mu FROM policies), t AS (SELECT sum(claims) / sum(exposure) AS m FROM policies),

@@ -8,7 +8,8 @@ import math
 
 import numpy as np
 
-from ..plans.tables import UNSEEN, WILDCARD, Axis, Model, Table, scan
+from ..plans.tables import UNSEEN, WILDCARD, Axis, Model, Table
+from .binding import scanner
 
 
 def merge_encodings(a: dict[str, list[str]], b: dict[str, list[str]]) -> tuple[dict[str, list[str]], dict[str, dict[int, int]]]:
@@ -73,19 +74,19 @@ def expand(tables: list[Table], name: str | None = None, most: int = 5_000_000)
     values = [axis_values(tables, a) for a in axes]
     if math.prod(map(len, values)) > most:
         raise ValueError(f"the product of the tables has more than {most} rows")
-    keys = list(itertools.product(*values))
-    total = np.zeros(len(keys))
+    total = np.zeros(tuple(map(len, values)))
     for t in tables:
         at = [axes.index(a) for a in t.axes]
-        seen: dict[tuple, float] = {}
-        for i, k in enumerate(keys):
-            own = tuple(k[j] for j in at)
-            mark = tuple("nan" if isinstance(v, float) and math.isnan(v) else v for v in own)
-            if mark not in seen:
-                # The wildcard of the product stands for codes that no table lists.
-                r = scan(t, tuple(UNSEEN if a.kind == "category" and v == WILDCARD else v for v, a in zip(own, t.axes)))
-                seen[mark] = math.nan if r is None else float(t.factors[r])
-            total[i] += seen[mark]
+        # The wildcard of the product stands for codes that no table lists.
+        own = [np.array([UNSEEN if v == WILDCARD else v for v in values[j]], np.int64) if axes[j].kind == "category" else np.array(values[j], float) for j in at]
+        if not at:
+            total += float(t.factors[0])
+            continue
+        rows = scanner(t)([g.ravel() for g in np.meshgrid(*own, indexing="ij")])
+        found = np.where(rows >= 0, np.asarray(t.factors, float)[rows], math.nan).reshape([len(v) for v in own])
+        # The table's own product, turned to the order of all axes, is added along those that it lacks.
+        total += np.transpose(found, np.argsort(at)).reshape([len(values[j]) if j in at else 1 for j in range(len(axes))])
+    keys, total = list(itertools.product(*values)), total.ravel()
     return Table(name or " + ".join(t.name for t in tables), "combined", tuple(axes), keys, total)
 
 
