@@ -72,7 +72,8 @@ def bit_map(values: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(seen).tobytes(), 1)], pa.binary())], ["m"])
 
     out = np.zeros(1 << bits >> 3, np.uint8)
-    for r in values.mapInArrow(pack, "m binary").toLocalIterator():
+    # At most so many maps come to the driver, one after the other.
+    for r in values.coalesce(64).mapInArrow(pack, "m binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(bytes(r.m)), np.uint8)
     return out
 

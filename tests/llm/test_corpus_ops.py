@@ -207,7 +207,9 @@ def test_perplexity_is_kneser_neys(spark, shard_rows):
     df = spark.createDataFrame([(i, t, ["x", "y", None][i % 3]) for i, t in enumerate(docs)], "doc_id long, text string, lang string")
     trusted = spark.createDataFrame([(i,) for i in [*good, *good]], "doc_id long")
     got = {r.doc_id: r for r in kneser_ney.perplexity_filter(df, trusted, order=3, shard_rows=shard_rows).collect()}
-    fold = [re.sub(r"[\t\n\r]", " ", t or "") for t in docs]
+    # A character from U+0700 on is two symbols, the high and the low part of its number.
+    symbol = lambda c: c if ord(c) < 0x700 else chr(0x700 + (ord(c) >> 10)) + chr(0xB40 + (ord(c) & 1023))
+    fold = ["".join(map(symbol, re.sub(r"[\t\n\r]", " ", t or ""))) for t in docs]
     asked = {t[i : i + 3] for t in fold for i in range(len(t) - 2)}
     p = plain_kneser_ney([fold[i] for i in good], asked, 3)
     for i, t in enumerate(fold):
@@ -223,6 +225,19 @@ def test_perplexity_is_kneser_neys(spark, shard_rows):
     assert all(r.kept for r in none) and len(none) == len(docs)
 
 
+def test_symbols_tell_all_characters_apart():
+    points = np.r_[0:0x110000].astype(np.int64)
+    points = points[(points < 9) | (points > 13)]
+    coded, before = kneser_ney.symbols(points)
+    assert coded.max() < 1 << kneser_ney.WIDTH and before[-1] == len(coded)
+    size = np.diff(before)
+    one, two = coded[before[:-1][size == 1]], before[:-1][size == 2]
+    pairs = coded[two] << kneser_ney.WIDTH | coded[two + 1]
+    assert len(np.unique(one)) == len(one) and len(np.unique(pairs)) == len(pairs)
+    # What begins a character, stands alone or ends one is never the same symbol.
+    assert len(set(one) | set(coded[two]) | set(coded[two + 1])) == len(one) + len(np.unique(coded[two])) + len(np.unique(coded[two + 1]))
+
+
 def test_probabilities_sum_to_one():
     p = plain_kneser_ney(["abcabcaab"], {a + b for a in "a" for b in map(chr, range(4096))}, 2)
     assert sum(p.values()) == pytest.approx(1)
