@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
+
 _NONE = np.int64(2**63 - 1)
 #: Words, and pieces, that a generation of a memo holds. About 300 bytes each.
 MEMO_WORDS = 300_000
@@ -309,6 +311,7 @@ def bpe_encode(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id",
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}"
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary_path)
         for batch in batches:

@@ -103,6 +103,7 @@ def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
     """
     own = [f"c{f}" for f in range(1, FOLDS + 1)]
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for batch in batches:
@@ -235,6 +236,7 @@ def _sums(docs: DataFrame, shared: Broadcast, order: int, id_type: str, ids: Bro
 
     With ``ids``, a bit map, only of the documents in it.
     """
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches if ids is None else _hits(ids, batches):

@@ -157,6 +157,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         bounds = sample_bounds(known, id_col, lang_col, most)
     spark = docs.sparkSession
 
+    @K.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in K.chunks(batch.column(2), 1 << 18):
@@ -207,6 +208,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits rows of at most 31 weights
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

@@ -75,6 +75,7 @@ def frequencies(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     bits = min(MOST_SKETCH_BITS, max(LEAST_SKETCH_BITS, (64 * docs.count()).bit_length()))
     width = (1 << bits) // BLOCKS
 
+    @K.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
@@ -106,6 +107,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     shared = docs.sparkSession.sparkContext.broadcast(frequency)  # 2**MOST_SKETCH_BITS counters at most
     bits = len(frequency).bit_length() - 1
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
@@ -138,6 +140,7 @@ def sets_of(classes: DataFrame, docs: DataFrame, text_col: str, k: int, scratch:
     asked = bit_map(classes.select(F.shiftrightunsigned(F.xxhash64("rid"), 64 - bits).alias("k")), bits)
     shared = docs.sparkSession.sparkContext.broadcast(asked)  # 2**MOST_MAP_BITS bits at most
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in _chunk_sets(batch, 0, k):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from . import textkernel as K
 from .bpe import encoder, text_batches
 
 #: Sequence ids of one task begin at its partition number times this.
@@ -113,6 +114,7 @@ def pack(
     arrow_id = to_arrow_type(docs.schema[id_col].dataType)
     end = np.array([eos_id], "<u4").tobytes()
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary_path, decoded=False)
         at = TaskContext.get().partitionId() * TASK_STRIDE

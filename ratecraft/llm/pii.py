@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .components import Scratch
 
 # Given names by gender and script, titles that tell a name follows, phrases that do, and family names of one character.
@@ -346,6 +347,7 @@ def replace(docs: DataFrame, key: str, *, text_col: str = "text", with_spans: bo
     where = names.index(text_col)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string()), ("token", pa.int64())]))
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _surrogates(key)
         for batch in batches:

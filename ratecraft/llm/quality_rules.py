@@ -252,6 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     label = {x._id: x._y for x in ids}
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isin(list(label)) & F.col("_text").isNotNull())
 
+    @K.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             who = batch.column(0)
@@ -286,6 +287,7 @@ def quality(docs: DataFrame, crf: Crf, *, id_col: str = "doc_id", text_col: str
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in old]).schema) + ", " + new
     where = old.index(text_col)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in K.chunks(batch.column(where)):

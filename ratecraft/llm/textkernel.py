@@ -8,7 +8,9 @@ single text is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -61,6 +63,31 @@ def _power(base: int, n: int) -> np.ndarray:
     return have
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that gives freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over a partition's batches that gives freed memory back to the system at its end.
+
+    Python workers are used again by later stages, so what one leaves to the allocator would add to what the next needs.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (trim := _trim()) is not None:
+            trim(0)
+
+    return tidied
+
+
 class Chunk(NamedTuple):
     """Documents ``first`` .. of a batch: bytes, and offsets with one more entry than documents."""
 

@@ -66,6 +66,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     ids = {x._id: x._y for y, n in ((1, sample_positive), (0, sample_negative)) for x in known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n).collect()}
 
+    @K.tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             who = batch.column(0)
@@ -93,6 +94,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))  # 2**bits floats at any input size
     orders, bits = model.orders, model.bits
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = shared.value
         for batch in batches:
